@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate
+from quarry.llm import decontaminate, simhash
 
-_MODULES = (decontaminate,)
+_MODULES = (decontaminate, simhash)
 
 
 def queries() -> dict:
