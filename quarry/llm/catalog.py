@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, simhash
+from quarry.llm import decontaminate, mixing, rans, simhash
 
-_MODULES = (decontaminate, simhash)
+_MODULES = (decontaminate, simhash, mixing, rans)
 
 
 def queries() -> dict:
