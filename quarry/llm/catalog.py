@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, mixing, rans, simhash
+from quarry.llm import decontaminate, mixing, rans, simhash, suffix
 
-_MODULES = (decontaminate, simhash, mixing, rans)
+_MODULES = (decontaminate, simhash, mixing, rans, suffix)
 
 
 def queries() -> dict:
