@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, mixing, rans, simhash, suffix
+from quarry.llm import cotraining, decontaminate, mixing, rans, simhash, suffix
 
-_MODULES = (decontaminate, simhash, mixing, rans, suffix)
+_MODULES = (decontaminate, simhash, mixing, rans, suffix, cotraining)
 
 
 def queries() -> dict:
