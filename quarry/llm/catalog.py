@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import bloomlm, cotraining, decontaminate, mixing, rans, simhash, suffix
+from quarry.llm import bloomlm, chains, cotraining, decontaminate, mixing, rans, simhash, suffix
 
-_MODULES = (decontaminate, simhash, mixing, rans, suffix, cotraining, bloomlm)
+_MODULES = (decontaminate, simhash, mixing, rans, suffix, cotraining, bloomlm, chains)
 
 
 def queries() -> dict:
