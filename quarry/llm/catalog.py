@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import bloomlm, chains, cotraining, decontaminate, mixing, rans, simhash, suffix
+from quarry.llm import bloomlm, chains, cotraining, decontaminate, maxscore, mixing, pii, rans, simhash, suffix
 
-_MODULES = (decontaminate, simhash, mixing, rans, suffix, cotraining, bloomlm, chains)
+_MODULES = (decontaminate, simhash, mixing, pii, rans, suffix, cotraining, bloomlm, chains, maxscore, pii)
 
 
 def queries() -> dict:
