@@ -161,13 +161,15 @@ def _later(offset: int):
         rid, pos, b = (table[c].to_numpy() for c in ("rid", "pos", "b"))
         order = np.lexsort((pos, rid))
         rid, pos, b = rid[order], pos[order], b[order]
+        if not len(rid):
+            return
         starts = split_runs(rid)
         text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rid))))
         place = (text << 32) + pos
         wanted = place + offset
-        found = np.minimum(np.searchsorted(place, wanted), max(len(place) - 1, 0))
-        keep = (pos >= 0) & (place[found] == wanted) if len(place) else np.zeros(0, bool)
-        rep = b[starts][text] if len(starts) else b
+        found = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+        keep = (pos >= 0) & (place[found] == wanted)
+        rep = b[starts][text]
         yield pa.RecordBatch.from_arrays(
             [pa.array(rep[keep]), pa.array(pos[keep]), pa.array(b[keep]), pa.array(b[found[keep]])],
             ["rep", "pos", "b", "c"],
@@ -185,10 +187,10 @@ def _spans(least: int):
         rep, pos, source = (table[c].to_numpy() for c in ("rep", "pos", "least"))
         order = np.lexsort((pos, rep))
         rep, pos, source = rep[order], pos[order], source[order]
-        new = np.zeros(len(rep), bool)
-        if len(rep):
-            new[0] = True
-            new[1:] = (rep[1:] != rep[:-1]) | (pos[1:] > pos[:-1] + least)
+        if not len(rep):
+            return
+        new = np.ones(len(rep), bool)
+        new[1:] = (rep[1:] != rep[:-1]) | (pos[1:] > pos[:-1] + least)
         starts = np.flatnonzero(new)
         last = np.append(starts[1:], len(rep)) - 1
         yield pa.RecordBatch.from_arrays(
@@ -196,7 +198,7 @@ def _spans(least: int):
                 pa.array(rep[starts]),
                 pa.array(pos[starts].astype(np.int64)),
                 pa.array(pos[last].astype(np.int64) + least),
-                pa.array(np.minimum.reduceat(source, starts) if len(starts) else source),
+                pa.array(np.minimum.reduceat(source, starts)),
             ],
             ["rep", "start_word", "end_word", "source"],
         )
