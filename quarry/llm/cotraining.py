@@ -337,8 +337,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where rows that repeat an id are scored differently, all of them go if one is rejected.
     """
     rejected = scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("NOT kept")
-    drop = rejected.select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["__rejected"], "left_anti").select(*docs.columns)
+    (key,) = rt.fresh(docs, "rejected")
+    drop = rejected.select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(drop, docs["doc_id"] == drop[key], "left_anti").select(*docs.columns)
 
 
 QUERIES = {"op4_cotraining": op4_cotraining}

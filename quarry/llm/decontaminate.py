@@ -173,8 +173,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item. Rows with a null id or text stay."""
     leaks = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    drop = leaks.select(F.col("doc_id").alias("__leaks")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["__leaks"], "left_anti").select(*docs.columns)
+    (key,) = rt.fresh(docs, "leaks")
+    drop = leaks.select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(drop, docs["doc_id"] == drop[key], "left_anti").select(*docs.columns)
 
 
 def sql(size: int = SHINGLE, threshold: float = THRESHOLD) -> str:

@@ -218,7 +218,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(
         "doc_id IS NOT NULL"
     )
-    repeated = texts.groupBy("doc_id").count().where("count > 1")
+    repeated = texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():
         texts = texts.distinct()
     terms = rt.written(

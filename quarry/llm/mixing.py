@@ -129,17 +129,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows with a null id are in no mixture and go.
     """
-    mixed = mixture(docs).select(F.col("doc_id").alias("__mixed"), F.col("place").alias("__place"))
-    one = Window.partitionBy("__mixed").orderBy(F.col("__tokens").desc(), F.coalesce("source", F.lit("")), "text")
-    joined = docs.join(mixed, docs["doc_id"] == mixed["__mixed"])
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    key, place, tokens, nth = rt.fresh(docs, "mixed", "place", "tokens", "nth")
+    mixed = mixture(docs).select(F.col("doc_id").alias(key), F.col("place").alias(place))
+    one = Window.partitionBy(key).orderBy(F.col(tokens).desc(), F.coalesce("source", F.lit("")), "text")
+    joined = docs.join(mixed, docs["doc_id"] == mixed[key])
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():
         joined = (
-            joined.withColumn("__tokens", tokens_of(F.col("text")))
-            .withColumn("__nth", F.row_number().over(one))
-            .where("__nth = 1")
+            joined.withColumn(tokens, tokens_of(F.col("text")))
+            .withColumn(nth, F.row_number().over(one))
+            .where(F.col(nth) == 1)
         )
-    return joined.repartitionByRange("__place").sortWithinPartitions("__place").select(*docs.columns)
+    return joined.repartitionByRange(place).sortWithinPartitions(place).select(*docs.columns)
 
 
 def sql(

@@ -47,6 +47,8 @@ def fingerprints(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         bits[:, k] = np.unpackbits(tx.mix(h ^ salt).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     lanes = bits.reshape(len(h), -1).view(np.uint64)  # eight counters of a byte each in a number
     have = np.flatnonzero(np.bincount(owner, minlength=n))
+    if not len(have):
+        return have, np.zeros((0, _LONGS), np.uint64)
     starts = np.searchsorted(owner, have)
     sizes = np.diff(np.append(starts, len(owner)))
     # Stretches of at most 255 words of a text, which a byte can count.
@@ -57,8 +59,6 @@ def fingerprints(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for at in range(0, len(cuts), 64):  # so that what is summed stays in cache
         end = cuts[at + 64] if at + 64 < len(cuts) else len(owner)
         counted[at : at + 64] = np.add.reduceat(lanes[code[cuts[at] : end]], cuts[at : at + 64] - cuts[at], axis=0)
-    if not len(have):
-        return have, np.zeros((0, _LONGS), np.uint64)
     ones = np.add.reduceat(counted.view(np.uint8), first, axis=0, dtype=np.int32)
     return have, np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64)
 
@@ -250,17 +250,16 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that repeat an id the first by text stays. Rows with a null id, or without words, stay.
     """
-    drop = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__copy"))
-    left = docs.join(drop, docs["doc_id"] == drop["__copy"], "left_anti")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1")
+    key, nth = rt.fresh(docs, "copy", "nth")
+    drop = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(key))
+    left = docs.join(drop, docs["doc_id"] == drop[key], "left_anti")
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():
-        again = rt.written(repeated.select("__again"), "simhash-repeated")
-        one = left.join(again, left["doc_id"] == again["__again"], "left_semi").withColumn(
-            "__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        )
-        left = left.join(again, left["doc_id"] == again["__again"], "left_anti").unionByName(
-            one.where("__nth = 1").drop("__nth")
+        again = rt.written(repeated.select(F.col("doc_id").alias(key)), "simhash-repeated")
+        one = left.join(again, left["doc_id"] == again[key], "left_semi").withColumn(
+            nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
         )
+        left = left.join(again, left["doc_id"] == again[key], "left_anti").unionByName(one.where(F.col(nth) == 1).drop(nth))
     return left.select(*docs.columns)
 
 
