@@ -139,6 +139,17 @@ def test_cotraining_held_out(spark):
     assert np.mean([(r.toxic > 0.5) == truth[r.doc_id].toxic for r in got]) > 0.85
 
 
+def test_cotraining_rejects_toxic_and_keeps_clean(spark):
+    """Of labels hidden from the fit, with as many others as a production corpus has at least."""
+    data = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    hidden = "pmod(hash(doc_id), 4) = 0"
+    truth = {r.doc_id: r for r in labels.where(hidden).collect()}
+    got = {r.doc_id: r.kept for r in cotraining.scored(docs, labels.where(f"NOT {hidden}")).collect()}
+    assert np.mean([got[i] for i, r in truth.items() if r.toxic == 1]) < 0.1
+    assert np.mean([got[i] for i, r in truth.items() if r.toxic == 0 and r.quality == 1]) > 0.98
+
+
 def test_cotraining_learns_from_either_view(spark, documents, words):
     good, bad, rng = words(60), words(60), random.Random(2)
     rows = []
