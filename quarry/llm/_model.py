@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -9,28 +11,38 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 
-def row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(rows, values, minlength=n)
+class Sparse:
+    """Rows of feature indices, each with the value 1. Products go over blocks of entries, so that they take little memory."""
 
+    BLOCK = 1 << 19
 
-class Sparse:
-    """Rows of feature indices with values, as (row, column, value) triples in order of row."""
+    def __init__(self, sizes: np.ndarray, columns: np.ndarray, width: int):
+        """``sizes``: entries of each row; ``columns`` of the entries, row after row."""
+        self.sizes, self.columns, self.shape = sizes, columns.astype(np.int32, copy=False), (len(sizes), width)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
+        cuts = np.searchsorted(self.starts, np.arange(0, self.starts[-1], self.BLOCK))
+        self.cuts = np.unique(np.concatenate(([0], cuts, [len(sizes)])))
 
-    def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int]):
-        self.rows, self.columns, self.values, self.shape = rows, columns, values, shape
+    def take(self, mask: np.ndarray) -> Sparse:
+        return Sparse(self.sizes[mask], self.columns[np.repeat(mask, self.sizes)], self.shape[1])
+
+    def _blocks(self) -> Iterator[tuple[slice, np.ndarray]]:
+        for a, b in zip(self.cuts.tolist(), self.cuts[1:].tolist(), strict=False):
+            yield slice(a, b), self.columns[self.starts[a] : self.starts[b]]
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return row_sums(self.rows, self.values * weights[self.columns], self.shape[0])
+        out = np.zeros(self.shape[0])
+        for rows, columns in self._blocks():
+            some = np.flatnonzero(self.sizes[rows])
+            if len(some):
+                out[rows.start + some] = np.add.reduceat(weights[columns], self.starts[rows][some] - self.starts[rows.start])
+        return out
 
     def tdot(self, residuals: np.ndarray) -> np.ndarray:
-        return np.bincount(self.columns, self.values * residuals[self.rows], minlength=self.shape[1])
-
-    def take(self, mask: np.ndarray) -> Sparse:
-        keep = mask[self.rows]
-        place = np.cumsum(mask) - 1
-        return Sparse(
-            place[self.rows[keep]], self.columns[keep], self.values[keep], (int(mask.sum()), self.shape[1])
-        )
+        out = np.zeros(self.shape[1])
+        for rows, columns in self._blocks():
+            out += np.bincount(columns, np.repeat(residuals[rows], self.sizes[rows]), minlength=self.shape[1])
+        return out
 
 
 def fit_logistic(
@@ -51,9 +63,9 @@ def fit_logistic(
         return w, b
     if start is not None:
         w, b = start
-    # Curvature along each coordinate, at most a quarter of its weighted square sum times the entries a row has.
-    reach = row_sums(x.rows, np.abs(x.values), n) + 1
-    bound = np.bincount(x.columns, np.abs(x.values) * (weight * reach)[x.rows], minlength=d) / (4 * total) + l2
+    # Curvature along each coordinate, at most a quarter of its weighted sum of the entries its rows have.
+    reach = x.sizes + 1
+    bound = x.tdot(weight * reach) / (4 * total) + l2
     bound_b = float((weight * reach).sum() / (4 * total))
     vw, vb, t = w.copy(), b, 1.0
     for _ in range(steps):

@@ -172,7 +172,8 @@ def _sample_views(wanted):
             for rows, names in views:
                 sizes = np.bincount(rows, minlength=batch.num_rows)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-                lists.append(pa.ListArray.from_arrays(offsets, pa.array(names.view(np.int64))))
+                values = names.astype(np.int32) if rows is views.content[0] else names.view(np.int64)
+                lists.append(pa.ListArray.from_arrays(offsets, pa.array(values)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(4), batch.column(5), *lists],
                 ["doc_id", "bad", "toxic", "content", "metadata"],
@@ -214,7 +215,10 @@ def _co_train(x: list[Sparse], y: np.ndarray, held: np.ndarray, rounds: int) ->
     weight = [(labelled & ~held).astype(float) for _ in x]
     fits = [None, None]
     for turn in range(rounds + 1):
-        fits = [fit_logistic(x[v], truth[v], weight[v], l2[v], fits[v]) for v in (0, 1)]
+        for v in (0, 1):  # rows without a label don't count
+            live = weight[v] > 0
+            rows = x[v] if live.all() else x[v].take(live)
+            fits[v] = fit_logistic(rows, truth[v][live], weight[v][live], l2[v], fits[v])
         logits = [np.clip(x[v].dot(w) + b, -12, 12) for v, (w, b) in enumerate(fits)]
         if turn == rounds or not (~labelled).any() or not held.any():
             break
@@ -261,24 +265,25 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     wanted = _choose(counts, {t: (totals[f"{t}_rows"] or 0, totals[f"{t}_sum"] or 0) for t in _TARGETS}, FEATURES)
     table = sample.mapInArrow(
         _sample_views(spark.sparkContext.broadcast(wanted)),
-        "doc_id long, bad int, toxic int, content array<long>, metadata array<long>",
+        "doc_id long, bad int, toxic int, content array<int>, metadata array<long>",
     ).toArrow().sort_by("doc_id")
     rt.discard(sample)
     n = len(table)
-    names = table["metadata"].combine_chunks().flatten().to_numpy().view(np.uint64) if n else np.zeros(0, np.uint64)
+    doc_ids = table["doc_id"].to_numpy().view(np.uint64) if n else np.zeros(0, np.uint64)
+    truth = {t: table[t].to_numpy().astype(float) if n else np.zeros(0) for t in _TARGETS}
+    content, metadata = (table[c].combine_chunks() if n else pa.array([], pa.list_(pa.int64())) for c in ("content", "metadata"))
+    del table
+    names = metadata.flatten().to_numpy().view(np.uint64)
     meta = tx.distinct(names)
     x = []
-    for column, width in (("content", max(len(wanted), 1)), ("metadata", max(len(meta), 1))):
-        flat = table[column].combine_chunks() if n else None
-        rows = np.repeat(np.arange(n), np.diff(flat.offsets.to_numpy())) if n else np.zeros(0, np.int64)
-        values = flat.flatten().to_numpy() if n else np.zeros(0, np.int64)
-        places = np.searchsorted(meta, values.view(np.uint64)) if column == "metadata" else values
-        x.append(Sparse(rows, places, np.ones(len(rows)), (n, width)))
-    held = tx.mix(table["doc_id"].to_numpy().view(np.uint64)) % np.uint64(4) == 0 if n else np.zeros(0, bool)
-    targets = {}
-    for t in _TARGETS:
-        y = table[t].to_numpy().astype(float) if n else np.zeros(0)
-        targets[t] = _co_train(x, y, held & ~np.isnan(y), rounds)
+    for lists, places, width in (
+        (content, content.flatten().to_numpy(), len(wanted)),
+        (metadata, np.searchsorted(meta, names), len(meta)),
+    ):
+        x.append(Sparse(np.diff(lists.offsets.to_numpy()), places, max(width, 1)))
+    del content, metadata, names, lists, places
+    held = tx.mix(doc_ids) % np.uint64(4) == 0
+    targets = {t: _co_train(x, y, held & ~np.isnan(y), rounds) for t, y in truth.items()}
     return Model(wanted, meta, targets)
 
 
@@ -295,9 +300,9 @@ def _score(model):
             rows, names = views.metadata
             place = np.minimum(np.searchsorted(m.known, names), max(len(m.known) - 1, 0))
             hit = m.known[place] == names if len(m.known) else np.zeros(len(names), bool)
-            metadata = Sparse(rows[hit], place[hit], np.ones(hit.sum()), (n, max(len(m.known), 1)))
+            metadata = Sparse(np.bincount(rows[hit], minlength=n), place[hit], max(len(m.known), 1))
             rows, places = views.content
-            content = Sparse(rows, places.astype(np.int64), np.ones(len(rows)), (n, max(len(m.wanted), 1)))
+            content = Sparse(np.bincount(rows, minlength=n), places, max(len(m.wanted), 1))
             bad, toxic = (m.targets[t].probability(content, metadata) for t in _TARGETS)
             yield pa.RecordBatch.from_arrays(
                 [

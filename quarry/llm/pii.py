@@ -253,8 +253,7 @@ def personal_data(docs: DataFrame, train: int = TRAIN) -> DataFrame:
     keys = zip(*(sample[c].to_pylist() for c in ("kind", *LABELERS)), strict=True)
     y = np.array([known[k] for k in keys])
     lists = sample["features"].combine_chunks() if len(sample) else pa.array([], pa.list_(pa.int32()))
-    rows = np.repeat(np.arange(len(sample)), np.diff(lists.offsets.to_numpy()))
-    x = Sparse(rows, lists.flatten().to_numpy(), np.ones(len(rows)), (len(sample), DIMENSIONS))
+    x = Sparse(np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), DIMENSIONS)
     model = fit_logistic(x, y, np.ones(len(y)), 1e-5, steps=200)
     spans = found.select("doc_id", "start", "end", "kind", "features").mapInArrow(
         _decide(spark.sparkContext.broadcast(model)), "doc_id long, start long, end long, kind string, probability double"
