@@ -96,6 +96,42 @@ def test_chains_recall(documents, words):
     assert len({r.doc_id for r in got} | {r.partner_doc_id for r in got}) >= 36
 
 
+def _noisy(rng, passage, share):
+    """The passage with exactly that share of its words changed."""
+    out = list(passage)
+    for i in rng.sample(range(len(out)), round(share * len(out))):
+        out[i] = f"x{rng.random()}"[2:10]
+    return out
+
+
+def _best_window(p, q, least, identity):
+    """Whether some stretch of one diagonal has ``least`` words, ``identity`` of them equal: brute force."""
+    for shift in range(-len(p) + least, len(q) - least + 1):
+        n = min(len(p), len(q) - shift) - max(0, -shift)
+        at = max(0, -shift)
+        same = np.concatenate(([0], np.cumsum([p[at + i] == q[at + i + shift] for i in range(n)])))
+        for i in range(n - least + 1):
+            if (same[i + least :] - same[i] >= identity * np.arange(least, n - i + 1) - 1e-9).any():
+                return True
+    return False
+
+
+def test_chains_recall_by_length_and_identity(documents, words):
+    """At 50 to 200 words and 0.8 to 1.0 identity nine of ten pairs that brute force aligns are found."""
+    rng, rows, cells = random.Random(11), [], {}
+    for length in (50, 60, 100, 200):
+        for share in (0.0, 0.02, 0.05, 0.1, 0.15, 0.2):
+            for _ in range(10):
+                passage, i = words(length), len(rows)
+                p, q = (words(rng.randint(0, 9)) + x + words(rng.randint(0, 9)) for x in (passage, _noisy(rng, passage, share)))
+                rows += [(i, " ".join(p)), (i + 1, " ".join(q))]
+                if _best_window(p, q, chains.LEAST, chains.IDENTITY):
+                    cells.setdefault((length, share), set()).add(i)
+    found = {min(r.doc_id, r.partner_doc_id) for r in chains.fuzzy_passages(documents(rows)).collect()}
+    assert len(cells) == 24
+    assert {c: len(want & found) / len(want) for c, want in cells.items() if len(want & found) < 0.9 * len(want)} == {}
+
+
 def _best_chain(a, b, n, weight, gap):
     """The quadratic recurrence that the tree answers."""
     end = np.maximum(n - chains._OVERLAP, 1)
