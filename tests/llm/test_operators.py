@@ -132,6 +132,14 @@ def test_chains_recall_by_length_and_identity(documents, words):
     assert {c: len(want & found) / len(want) for c, want in cells.items() if len(want & found) < 0.9 * len(want)} == {}
 
 
+def test_chains_recall_in_large_noisy_groups(documents, words):
+    """Of many noisy copies of a passage nine of ten documents come out in some pair."""
+    rng, passage = random.Random(12), words(100)
+    rows = [(i, " ".join(words(20) + _noisy(rng, passage, 0.1) + words(20))) for i in range(200)]
+    got = chains.fuzzy_passages(documents(rows)).collect()
+    assert len({r.doc_id for r in got} | {r.partner_doc_id for r in got}) >= 180
+
+
 def _best_chain(a, b, n, weight, gap):
     """The quadratic recurrence that the tree answers."""
     end = np.maximum(n - chains._OVERLAP, 1)
