@@ -140,9 +140,8 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         marks = [np.ones(batch.num_rows, np.int64)]
         marks += [pc.fill_null(batch.column(c), 0).to_numpy().astype(np.int64) for c in (4, 5)]
         sums = [np.add.reduceat(m[rows], starts) if len(starts) else np.zeros(0, np.int64) for m in marks]
-        often = sums[0] > 1  # a feature of one document here and in no other part would not be chosen anyway
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names[starts][often].view(np.int64)), *(pa.array(s[often]) for s in sums)], ["name", "n", *_TARGETS]
+            [pa.array(names[starts].view(np.int64)), *(pa.array(s) for s in sums)], ["name", "n", *_TARGETS]
         )
 
 

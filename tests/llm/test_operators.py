@@ -208,6 +208,25 @@ def test_cotraining_learns_from_either_view(spark, documents, words):
 # Language-model scoring
 
 
+def test_cotraining_counts_features_over_all_batches(words):
+    """A feature of one document in each of many batches counts as in one batch of them all."""
+    rare, many = words(1)[0], [" ".join(words(5)) for _ in range(8)]
+    batch = pa.RecordBatch.from_pylist(
+        [{"doc_id": i, "text": f"{rare} {t}", "source": "s", "lang": "en", "bad": 1, "toxic": i % 2} for i, t in enumerate(many)],
+        pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("source", pa.string()), ("lang", pa.string()), ("bad", pa.int32()), ("toxic", pa.int32())]),
+    )
+
+    def counts(batches):
+        total = Counter()
+        for part in cotraining._count_features(batches):
+            for r in part.to_pylist():
+                total.update({(r["name"], c): r[c] for c in ("n", "bad", "toxic")})
+        return total
+
+    got = counts(iter([batch.slice(i, 1) for i in range(8)]))
+    assert got == counts(iter([batch])) and max(got.values()) == 8
+
+
 def test_bloomlm_equals_brute_force(documents):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choices("abcdefghij", weights=range(1, 11), k=rng.randint(0, 80)))) for i in range(60)]
