@@ -1,8 +1,7 @@
 """Language-model scores of all documents from n-gram counts in a log-frequency Bloom filter.
 
 The n-grams of the whole corpus are counted: tasks count what they hold, sort it and send it on by shard, delta-coded.
-Each shard keeps the n-grams that occur ``LEAST`` times or more, as an n-gram seen once tells only about itself, with
-their counts quantised to levels of a logarithm. An n-gram of level q is put into the shard's Bloom filter q times, with
+Each shard keeps all its n-grams, with their counts quantised to levels of a logarithm, exact up to 3. An n-gram of level q is put into the shard's Bloom filter q times, with
 the numbers 1 to q, and its level is found by probing for 1, 2, ... until a probe fails; so an error only ever raises a
 level. The filters are broadcast, and every document's words are scored by interpolated probabilities
 
@@ -27,7 +26,6 @@ from quarry.llm import _runtime as rt
 from quarry.llm import _text as tx
 
 ORDER = 3
-LEAST = 2
 BASE = 1.5
 LAMBDA = (0.05, 0.15, 0.3, 0.5)
 SHARDS = 1024
@@ -118,15 +116,15 @@ def _count(order: int):
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
-    """The quantised count: 1 from LEAST on, and one more for each factor of BASE; 0 below."""
-    raised = np.floor(np.log(np.maximum(counts, LEAST) / LEAST) / np.log(BASE) + 1e-9)
-    return np.where(counts >= LEAST, 1 + raised, 0).astype(np.int64)
+    """The quantised count: 1 for a single occurrence, and one more for each factor of BASE; 0 for none."""
+    raised = np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9)
+    return np.where(counts > 0, 1 + raised, 0).astype(np.int64)
 
 
 def count_of(levels: np.ndarray) -> np.ndarray:
     """The count that a level stands for: the middle of its range."""
-    low = np.ceil(LEAST * BASE ** (levels.astype(float) - 1) - 1e-9)
-    high = np.maximum(np.ceil(LEAST * BASE ** levels.astype(float) - 1e-9) - 1, low)
+    low = np.ceil(BASE ** (levels.astype(float) - 1) - 1e-9)
+    high = np.maximum(np.ceil(BASE ** levels.astype(float) - 1e-9) - 1, low)
     return np.where(levels > 0, (low + high) / 2, 0.0)
 
 
@@ -151,9 +149,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, counts = counted(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
             if kind == 1:
                 vocabulary, words = len(keys), int(counts.sum())
-            levels = level_of(counts)
-            keep = levels > 0
-            entries.append((keys[keep], levels[keep]))
+            entries.append((keys, level_of(counts)))
         keys = np.concatenate([k for k, _ in entries])
         levels = np.concatenate([q for _, q in entries])
         repeated = np.repeat(keys, levels)

@@ -254,6 +254,30 @@ def test_bloomlm_equals_brute_force(documents):
     assert close >= 57  # a false positive of the filter may raise a level
 
 
+def test_bloomlm_holds_what_occurs_once(documents, words):
+    """Against the counts themselves, which levels give exactly up to 3: most n-grams here occur once."""
+    assert bloomlm.count_of(bloomlm.level_of(np.arange(4))).tolist() == [0, 1, 2, 3]
+    few = words(40)
+    texts = [words(12) + few[i : i + 8] for i in range(0, 40, 4)]
+    counts = [Counter() for _ in range(bloomlm.ORDER)]
+    for t in texts:
+        for n in range(1, bloomlm.ORDER + 1):
+            counts[n - 1].update(tuple(t[i : i + n]) for i in range(len(t) - n + 1))
+    total, lam = sum(counts[0].values()), bloomlm.LAMBDA
+    got = {r.doc_id: r for r in bloomlm.scored(documents([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    near = 0
+    for d, t in enumerate(texts):
+        want = 0.0
+        for i in range(len(t)):
+            p, mass = lam[0] / len(counts[0]) + lam[1] * counts[0][(t[i],)] / total, lam[0] + lam[1]
+            for n in range(2, min(i + 1, bloomlm.ORDER) + 1):
+                gram = tuple(t[i - n + 1 : i + 1])
+                p, mass = p + lam[n] * counts[n - 1][gram] / counts[n - 2][gram[:-1]], mass + lam[n]
+            want += math.log(p / mass)
+        near += abs(got[d].log_probability - want) < 1e-6
+    assert near >= 8  # a filter's errors raise a level now and then
+
+
 def test_bloomlm_in_parts(documents, words):
     """Filters that are broadcast a part at a time give the same scores."""
     pool, rng = words(50), random.Random(1)
