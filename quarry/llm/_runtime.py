@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
 
@@ -62,6 +63,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def even_keys(spark: SparkSession, n: int) -> Column:
+    """An array of n whole numbers of which the i-th hashes to the i-th of n shuffle partitions."""
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).cast("int")
+    reach, found = 32 * n + 256, {}
+    while len(found) < n:
+        rows = spark.range(reach).groupBy(place.alias("place")).agg(F.min("id").cast("int").alias("key")).collect()
+        found, reach = {r["place"]: r["key"] for r in rows}, 4 * reach
+    return F.array(*(F.lit(found[i]) for i in range(n))) if n < 4096 else F.from_json(F.lit(str([found[i] for i in range(n)])), "array<int>")
+
+
 def chunks(batches: Iterator[pa.RecordBatch], rows: int = 4096, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, by row count and bytes, so that working arrays stay in cache."""
     for batch in batches:

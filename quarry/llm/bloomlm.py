@@ -1,15 +1,23 @@
 """Language-model scores of all documents from n-gram counts in a log-frequency Bloom filter.
 
-The n-grams of the whole corpus are counted: tasks count what they hold, sort it and send it on by shard, delta-coded.
-Each shard keeps all its n-grams, with their counts quantised to levels of a logarithm, exact up to 3. An n-gram of level q is put into the shard's Bloom filter q times, with
-the numbers 1 to q, and its level is found by probing for 1, 2, ... until a probe fails; so an error only ever raises a
-level. The filters are broadcast, and every document's words are scored by interpolated probabilities
-
-    p(w | u v) = sum over orders k of LAMBDA[k] * count(k-gram) / count(its context), and LAMBDA[0] / vocabulary
-
-from the counts that the levels stand for. Filters of more than ``BROADCAST_BYTES`` are broadcast a part at a time: each
-pass looks up the n-grams of its shards and notes their levels with the document, and the last one scores. The result
-is the same, so neither the driver's nor an executor's memory bounds the corpus.
+The n-grams of the whole corpus are counted: parts of it count what they hold, sort it and send it on by shard,
+delta-coded. Each shard keeps all its n-grams, with their counts quantised to levels of a logarithm, exact up to 3. An
+n-gram of level q is put into the shard's Bloom filter q times, with the numbers 1 to q, and its level is found by
+probing for 1, 2, ... until a probe fails; so an error only ever raises a level. Every document's words are scored by
+interpolated probabilities with absolute discounting,
+
+    p(w | u v) = sum over orders k of LAMBDA[k] * max(count(k-gram) - DISCOUNT, 0) / count(its context)
+                 + LAMBDA[1] * count(w) / words + LAMBDA[0] / VOCABULARY
+
+from the counts that the levels stand for; orders that a word has no context for are left out and the weights of the
+others scaled to 1. As the counts include the document itself, the discount is what tells a passage that occurs once
+from one that occurs again.
+
+The filters are broadcast where their size has a small enough bound: an n-gram of n occurrences has n entries at most,
+so ``BITS`` for each n-gram position of the corpus, which is known before, can't be exceeded. Beyond ``BROADCAST_BYTES``
+the filters stay where they were built and the probes come to them: a part's distinct n-grams are looked up in the
+shard's filter, and their levels return to the part, a byte each. The scores are the same. Nothing that grows with the
+corpus passes through the driver, and the texts are read twice, however large the corpus is.
 """
 
 from __future__ import annotations
@@ -28,13 +36,14 @@ from quarry.llm import _text as tx
 ORDER = 3
 BASE = 1.5
 LAMBDA = (0.05, 0.15, 0.3, 0.5)
-SHARDS = 1024
+DISCOUNT = 0.75
+VOCABULARY = 1 << 20  # of the uniform part, which unseen words have too
 BITS = 12  # of the filter for each entry
 PROBES = 6
-BROADCAST_BYTES = 192 << 20
-_BUFFER = 8 << 20  # n-grams that a task counts at once
+BROADCAST_BYTES = 32 << 20
+PART_BYTES = 16 << 20  # of text, counted together
+SHARD_GRAMS = 4 << 20  # n-gram positions for each shard
 _KEY = np.uint64(16)  # a key is the upper 48 bits of an n-gram's hash
-_SHARD = np.uint64(64 - SHARDS.bit_length() + 1)
 
 
 def ngrams(w: tx.Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -83,38 +92,57 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(step, dtype=np.uint64) << np.uint64(16)) | low, counts.astype(np.int64)
 
 
-def _count(order: int):
-    """Rows (shard, kind, grams): counted n-grams of order ``kind`` in a shard."""
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each key; in order of keys."""
+    return ((keys >> np.uint64(16)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _sorted_keys(texts: pa.Array, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the keys of all n-gram positions, and which are within one text."""
+    for h, valid in ngrams(tx.words(texts), order):
+        yield h >> _KEY, valid
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in range(order)]
-        size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+def _count(order: int, shards: int):
+    """Rows (shard, part, kind, grams): counted n-grams of order ``kind`` of each part of the corpus, by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[list[np.ndarray]]] = {}
+        for batch in rt.chunks(batches):
+            parts = batch.column(2).to_numpy()
+            for part in np.unique(parts).tolist():
+                mine = held.setdefault(part, [[] for _ in range(order)])
+                texts = batch.column(1).filter(pa.array(parts == part))
+                for kind, (keys, valid) in enumerate(_sorted_keys(texts, order)):
+                    mine[kind].append(keys[valid])
+        for part, kinds in held.items():
             for kind in range(order):
-                keys, counts = counted(np.concatenate(held[kind]) if held[kind] else np.zeros(0, np.uint64))
-                held[kind].clear()
-                cuts = np.searchsorted(keys, (np.arange(SHARDS + 1, dtype=np.uint64) << (_SHARD - _KEY))[:-1])
-                cuts = np.append(cuts, len(keys))
-                some = np.flatnonzero(np.diff(cuts))
-                grams = [pack(keys[cuts[s] : cuts[s + 1]], counts[cuts[s] : cuts[s + 1]]) for s in some.tolist()]
+                keys, counts = counted(np.concatenate(kinds[kind]))
+                kinds[kind] = []
+                starts, sizes = _runs(shard_of(keys, shards))
+                some = shard_of(keys[starts], shards)
+                grams = [pack(keys[a : a + n], counts[a : a + n]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+                n = len(some)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind + 1, np.int32)), pa.array(grams, pa.binary())],
-                    ["shard", "kind", "grams"],
+                    [
+                        pa.array(some.astype(np.int32)),
+                        pa.array(np.full(n, part, np.int32)),
+                        pa.array(np.full(n, kind + 1, np.int32)),
+                        pa.array(grams, pa.binary()),
+                    ],
+                    ["shard", "part", "kind", "grams"],
                 )
 
-        for batch in rt.chunks(batches):
-            for kind, (h, valid) in enumerate(ngrams(tx.words(batch.column(0)), order)):
-                held[kind].append(h[valid] >> _KEY)
-                size += len(held[kind][-1])
-            if size >= _BUFFER:
-                yield from flush()
-                size = 0
-        yield from flush()
-
     return run
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return starts, np.diff(np.append(starts, len(keys)))
+
+
 def level_of(counts: np.ndarray) -> np.ndarray:
     """The quantised count: 1 for a single occurrence, and one more for each factor of BASE; 0 for none."""
     raised = np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9)
@@ -128,182 +156,205 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (low + high) / 2, 0.0)
 
 
-def _places(keys: np.ndarray, level, probe: int, size: np.ndarray) -> np.ndarray:
+def _hashed(keys: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
     g = tx.mix(keys * np.uint64(0x9E3779B97F4A7C15) + np.asarray(level, np.uint64))
-    low, high = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
+    return g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
+
+
+def _place(hashed: tuple[np.ndarray, np.ndarray], probe: int, size) -> np.ndarray:
+    low, high = hashed
     return ((low + np.uint64(probe) * high & np.uint64(0xFFFFFFFF)) * size >> np.uint64(32)).astype(np.int64)
 
 
-_GRAMS = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("grams", pa.binary())])
-
-
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's filter, the entries in it and how many distinct words it saw."""
-    table = rt.gathered(batches, _GRAMS).sort_by([("shard", "ascending"), ("kind", "ascending")])
-    shards, kinds = table["shard"].to_numpy(), table["kind"].to_numpy()
-    for shard in np.unique(shards).tolist():
-        entries, vocabulary, words = [], 0, 0
-        for kind in np.unique(kinds[shards == shard]).tolist():
-            at = np.flatnonzero((shards == shard) & (kinds == kind))
-            parts = [unpack(raw.as_py()) for raw in table["grams"].slice(int(at[0]), len(at))]
-            keys, counts = counted(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-            if kind == 1:
-                vocabulary, words = len(keys), int(counts.sum())
-            entries.append((keys, level_of(counts)))
-        keys = np.concatenate([k for k, _ in entries])
-        levels = np.concatenate([q for _, q in entries])
-        repeated = np.repeat(keys, levels)
-        number = np.arange(len(repeated)) - np.repeat(np.cumsum(levels) - levels, levels) + 1
-        size = max(64, -(-len(repeated) * BITS // 64) * 64)
-        bits = np.zeros(size, bool)
+def build(keys: np.ndarray, levels: np.ndarray) -> tuple[int, np.ndarray]:
+    """(size in bits, packed bits) of the filter that has each key with the numbers 1 to its level."""
+    repeated = np.repeat(keys, levels)
+    number = np.arange(len(repeated)) - np.repeat(np.cumsum(levels) - levels, levels) + 1
+    size = max(64, -(-len(repeated) * BITS // 64) * 64)
+    bits = np.zeros(size, bool)
+    hashed = _hashed(repeated, number)
+    for probe in range(PROBES):
+        bits[_place(hashed, probe, np.uint64(size))] = True
+    return size, np.packbits(bits, bitorder="little")
+
+
+def probed(keys: np.ndarray, bits: np.ndarray, sizes, starts) -> np.ndarray:
+    """The level of each key: how many numbers in a row the filter has with it. Sizes and starts (bits) by key, or one."""
+    out = np.zeros(len(keys), np.uint8)
+    live = np.arange(len(keys))
+    sizes, starts = (np.broadcast_to(np.asarray(x), len(keys)) for x in (sizes, starts))
+    for level in range(1, 251):
+        low, high = _hashed(keys[live], level)
         for probe in range(PROBES):
-            bits[_places(repeated, number, probe, np.uint64(size))] = True
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([shard], pa.int32()),
-                pa.array([size], pa.int64()),
-                pa.array([vocabulary], pa.int64()),
-                pa.array([words], pa.int64()),
-                pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()),
-            ],
-            ["shard", "size", "vocabulary", "words", "bits"],
-        )
+            place = _place((low, high), probe, sizes[live]) + starts[live]
+            hit = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            if not hit.all():
+                live, low, high = live[hit], low[hit], high[hit]
+        if not len(live):
+            break
+        out[live] = level
+    return out
+
+
+def _shard_keys(table: pa.Table) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]:
+    """((part, kind, keys) of each row, all keys in that order, the distinct ones' place of each, levels of the distinct)."""
+    rows, keys, counts = [], [], []
+    for part, kind, raw in zip(table["part"].to_pylist(), table["kind"].to_pylist(), table["grams"], strict=True):
+        k, c = unpack(raw.as_py())
+        rows.append((part, kind, len(k)))
+        keys.append(k)
+        counts.append(c)
+    flat, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(flat, kind="stable")
+    starts, sizes = _runs(flat[order])
+    place = np.empty(len(flat), np.int64)
+    place[order] = np.repeat(np.arange(len(starts)), sizes)
+    return rows, flat[order][starts], place, level_of(np.add.reduceat(n[order], starts))
+
+
+def _build(table: pa.Table) -> pa.Table:
+    """A shard's filter."""
+    _, keys, _, levels = _shard_keys(table)
+    size, bits = build(keys, levels)
+    return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "size": pa.array([size], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """A shard's filter built and probed: rows (part, kind, shard, levels), the levels of each row's n-grams."""
+    rows, keys, place, levels = _shard_keys(table)
+    size, bits = build(keys, levels)
+    found = probed(keys, bits, np.uint64(size), 0)[place]
+    ends = np.cumsum([n for _, _, n in rows]).tolist()
+    return pa.table(
+        {
+            "part": pa.array([part for part, _, _ in rows], pa.int32()),
+            "kind": pa.array([kind for _, kind, _ in rows], pa.int32()),
+            "shard": table["shard"].cast(pa.int32()),
+            "levels": pa.array([found[e - n : e].tobytes() for e, (_, _, n) in zip(ends, rows, strict=True)], pa.binary()),
+        }
+    )
 
 
 class Filter:
-    """Filters of some shards, one after the other."""
+    """The filters of all shards, one after the other."""
 
-    def __init__(self, shards: np.ndarray, sizes: np.ndarray, bits: bytes):
-        self.sizes = np.zeros(SHARDS, np.uint64)
+    def __init__(self, count: int, shards: np.ndarray, sizes: np.ndarray, bits: bytes):
+        self.sizes = np.zeros(count, np.uint64)
         self.sizes[shards] = sizes
-        self.starts = np.zeros(SHARDS, np.int64)
-        self.starts[shards] = np.cumsum(sizes) - sizes
-        self.has = np.zeros(SHARDS, bool)
-        self.has[shards] = True
+        self.starts = np.cumsum(self.sizes.astype(np.int64)) - self.sizes.astype(np.int64)
         self.bits = bits
 
-    def levels(self, hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """``known`` with the levels of the n-grams whose shard is here."""
-        bits = np.frombuffer(self.bits, np.uint8)
-        shard = (hashes >> _SHARD).astype(np.int64)
-        out = known.copy()
-        live = np.flatnonzero(self.has[shard])
-        keys, sizes, starts = hashes[live] >> _KEY, self.sizes[shard[live]], self.starts[shard[live]]
-        level = 1
-        while len(live):
-            for probe in range(PROBES):
-                place = _places(keys, level, probe, sizes) + starts
-                hit = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                live, keys, sizes, starts = live[hit], keys[hit], sizes[hit], starts[hit]
-            out[live] = level
-            level += 1
-            if level > 250:
-                break
-        return out
-
-
-def probabilities(levels: list[np.ndarray], offsets: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        shard = shard_of(keys, len(self.sizes))
+        return probed(keys, np.frombuffer(self.bits, np.uint8), self.sizes[shard], self.starts[shard])
+
+
+def probabilities(levels: list[np.ndarray], offsets: np.ndarray, total: int) -> np.ndarray:
     """The probability of each word from the levels of the n-grams that start at each position."""
     counts = [count_of(q) for q in levels]
     n = len(counts[0])
     depth = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))  # words before it in the text
-    p = np.full(n, LAMBDA[0] / max(vocabulary, 1)) + LAMBDA[1] * counts[0] / max(total, 1)
+    p = np.full(n, LAMBDA[0] / VOCABULARY) + LAMBDA[1] * counts[0] / max(total, 1)
     mass = np.full(n, LAMBDA[0] + LAMBDA[1])
     for k in range(2, len(levels) + 1):
         back = k - 1
         at = np.flatnonzero(depth >= back)
-        whole, context = counts[k - 1][at - back], counts[k - 2][at - back]
+        whole, context = np.maximum(counts[k - 1][at - back] - DISCOUNT, 0.0), counts[k - 2][at - back]
         p[at] += LAMBDA[k] * np.minimum(1.0, np.where(context > 0, whole / np.maximum(context, 1.0), 0.0))
         mass[at] += LAMBDA[k]
     return p / mass
 
 
-def _score(order: int, part, total: int, vocabulary: int, last: bool):
-    """Looks up the n-grams of a part of the filters; the last part scores."""
+def _scores(ids: pa.Array, w: tx.Words, levels: list[np.ndarray], total: int) -> pa.Table:
+    logs = np.concatenate(([0.0], np.cumsum(np.log(probabilities(levels, w.offsets, total)))))
+    words = w.counts()
+    mean = (logs[w.offsets[1:]] - logs[w.offsets[:-1]]) / np.maximum(words, 1)
+    some = pa.array(words > 0)
+    none = pa.scalar(None, pa.float64())
+    return pa.table(
+        {
+            "doc_id": ids,
+            "words": pa.array(words),
+            "log_probability": pc.if_else(some, pa.array(mean), none),
+            "perplexity": pc.if_else(some, pa.array(np.exp(-mean)), none),
+        }
+    )
 
+
+def _score_broadcast(order: int, shared, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f: Filter = part.value
+        f: Filter = shared.value
         for batch in rt.chunks(batches):
             w = tx.words(batch.column(1))
-            n = len(w.codes)
-            noted = np.frombuffer(b"".join(x.as_py() or b"" for x in batch.column(2)), np.uint8)
-            noted = noted.reshape(n, order) if len(noted) else np.zeros((n, order), np.uint8)
             levels = []
-            for kind, (h, valid) in enumerate(ngrams(w, order)):
-                known = noted[:, kind].copy()
-                if not kind:  # each word of the vocabulary once
-                    first = np.zeros(len(w.vocab), np.int64)
-                    first[w.codes[::-1]] = np.arange(n)[::-1]
-                    known = f.levels(h[first], known[first])[w.codes] if n else known
-                else:
-                    known[valid] = f.levels(h[valid], known[valid])
+            for h, valid in ngrams(w, order):
+                known = np.zeros(len(h), np.uint8)
+                known[valid] = f.levels(h[valid] >> _KEY)
                 levels.append(known)
-            if not last:
-                rows = np.stack(levels, axis=1).astype(np.uint8)
-                state = [rows[a:b].tobytes() for a, b in zip(w.offsets, w.offsets[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(state, pa.binary())], ["doc_id", "text", "state"]
-                )
-                continue
-            logs = np.concatenate(([0.0], np.cumsum(np.log(probabilities(levels, w.offsets, total, vocabulary)))))
-            words = w.counts()
-            sums = logs[w.offsets[1:]] - logs[w.offsets[:-1]]
-            mean = np.where(words > 0, sums / np.maximum(words, 1), np.nan)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(words),
-                    pa.array(sums),
-                    pc.if_else(pa.array(words > 0), pa.array(np.exp(-mean)), pa.scalar(None, pa.float64())),
-                ],
-                ["doc_id", "words", "log_probability", "perplexity"],
-            )
+            yield from _scores(batch.column(0), w, levels, total).to_batches()
 
     return run
 
 
-def scored(docs: DataFrame, order: int = ORDER, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Each document's words, the sum of their log-probabilities, and the perplexity, under the corpus's own counts.
+def _score_part(order: int, total: int):
+    """A part's texts with the levels of its distinct n-grams, in order of their keys."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        column = texts["text"].combine_chunks()
+        w = tx.words(column)
+        answers = answers.sort_by([("kind", "ascending"), ("shard", "ascending")])
+        kinds = answers["kind"].to_numpy()
+        levels = []
+        for kind, (h, valid) in enumerate(ngrams(w, order), 1):
+            raw = answers["levels"].filter(pa.array(kinds == kind))
+            flat = np.frombuffer(b"".join(x.as_py() for x in raw), np.uint8)
+            keys = h[valid] >> _KEY
+            by = np.argsort(keys, kind="stable")
+            _, sizes = _runs(keys[by])
+            mine = np.empty(len(keys), np.uint8)
+            mine[by] = np.repeat(flat, sizes)
+            known = np.zeros(len(h), np.uint8)
+            known[valid] = mine
+            levels.append(known)
+        return _scores(texts["doc_id"].combine_chunks(), w, levels, total)
 
-    Defined cases: a null text counts as empty, and a text without words has log_probability 0 and no perplexity. A null
-    doc_id stays null. Rows that repeat an id or a text are counted and scored each. Texts shorter than the order are
-    scored by the lower orders. Other columns are not read. An empty table gives no rows.
+    return run
+
+
+_SCORES = "doc_id long, words long, log_probability double, perplexity double"
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rt.chunks(batches):
+        text = pc.utf8_lower(pc.fill_null(batch.column(0), ""))
+        words = pc.sum(pc.count_substring_regex(text, r"[\p{L}\p{N}]+")).as_py() or 0
+        yield pa.RecordBatch.from_arrays([pa.array([words], pa.int64()), pa.array([pc.sum(pc.binary_length(text)).as_py() or 0], pa.int64())], ["words", "bytes"])
+
+
+def scored(docs: DataFrame, order: int = ORDER, broadcast_bytes: int = BROADCAST_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Each document's words, the mean log-probability of a word, and the perplexity, under the corpus's own counts.
+
+    Defined cases: a null text counts as empty, and a text without words has no log_probability and no perplexity. A
+    null doc_id stays null. Rows that repeat an id or a text are counted and scored each; equal texts have equal scores,
+    as there are no ties to break. Texts shorter than the order are scored by the lower orders. A very long text is
+    counted and scored whole, in one part. Other columns, whatever their names, are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    filters = rt.written(
-        texts.select("text")
-        .mapInArrow(_count(order), "shard int, kind int, grams binary")
-        .repartition("shard")
-        .mapInArrow(_build, "shard int, size long, vocabulary long, words long, bits binary"),
-        "bloomlm-filters",
-    )
-    heads = filters.select("shard", "size", "vocabulary", "words").toArrow().sort_by("shard")  # at most SHARDS rows
-    vocabulary = pc.sum(heads["vocabulary"]).as_py() or 0
-    total = pc.sum(heads["words"]).as_py() or 0
-    # Parts of the filters that are small enough to broadcast; a single shard is one part at least.
-    sizes = heads["size"].to_numpy() // 8
-    shards = heads["shard"].to_numpy()
-    part = np.zeros(len(sizes), np.int64)
-    held = number = 0
-    for i, size in enumerate(sizes.tolist()):
-        if held and held + size > broadcast_bytes:
-            held, number = 0, number + 1
-        held += size
-        part[i] = number
-    state = texts.withColumn("state", F.lit(None).cast("binary"))
-    for k in range(number + 1):
-        mine = shards[part == k]
-        rows = filters.where(F.col("shard").isin(mine.tolist())).select("shard", "size", "bits").toArrow().sort_by("shard")
-        bits = b"".join(x.as_py() for x in rows["bits"])
-        share = spark.sparkContext.broadcast(Filter(rows["shard"].to_numpy(), rows["size"].to_numpy(), bits))
-        del rows, bits
-        run = _score(order, share, total, vocabulary, k == number)
-        if k == number:
-            return state.mapInArrow(run, "doc_id long, words long, log_probability double, perplexity double")
-        state = rt.written(state.mapInArrow(run, "doc_id long, text string, state binary"), "bloomlm-levels")
-        share.destroy()
-    raise AssertionError("there is a last part")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = texts.select("text").mapInArrow(_measured, "words long, bytes long").agg(F.sum("words"), F.sum("bytes")).first()
+    total, size = size[0] or 0, size[1] or 0
+    shards = max(1, -(-total * order // SHARD_GRAMS))
+    parts = max(1, -(-size // part_bytes))
+    # A part's number hashes to the partition of its own, so that tasks are even.
+    number = rt.even_keys(spark, parts)[F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")]
+    placed = texts.withColumn("part", number).repartition(parts, "part")
+    grams = placed.mapInArrow(_count(order, shards), "shard int, part int, kind int, grams binary").groupBy("shard")
+    if total * order * BITS // 8 + 8 * shards <= broadcast_bytes:
+        rows = grams.applyInArrow(_build, "shard int, size long, bits binary").toArrow().sort_by("shard")
+        held = Filter(shards, rows["shard"].to_numpy(), rows["size"].to_numpy(), b"".join(x.as_py() for x in rows["bits"]))
+        return texts.mapInArrow(_score_broadcast(order, spark.sparkContext.broadcast(held), total), _SCORES)
+    answers = grams.applyInArrow(_answer, "part int, kind int, shard int, levels binary")
+    return placed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score_part(order, total), _SCORES)
 
 
 def op5_bloomlm(spark: SparkSession, sf_dir: str) -> DataFrame:
