@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,68 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+SEGMENT = 1 << 16
+SCREEN_BITS = 1 << 27
+
+
+def screen_of(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test of whether a whole number may be among those in the column of ``ids``: surely not, where it says no.
+
+    A bitmap of hashes, made by segments in tasks; 16 bits a number, but ``SCREEN_BITS`` (16 MB) at most, however many
+    there are. Beyond that more and more pass that are not among them.
+    """
+    from quarry.llm import _text as tx
+
+    spark = ids.sparkSession
+    bits = min(SCREEN_BITS, max(SEGMENT, 1 << (16 * ids.count()).bit_length()))
+    shift = np.uint64(64 - bits.bit_length() + 1)
+
+    def places(numbers: pa.Array) -> np.ndarray:
+        return (tx.mix(numbers.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> shift).astype(np.int64)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = places(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(at // SEGMENT), pa.array(at % SEGMENT)], ["segment", "bit"])
+
+    def filled(table: pa.Table) -> pa.Table:
+        own = np.zeros(SEGMENT, bool)
+        own[table["bit"].to_numpy()] = True
+        return pa.table({"segment": table["segment"][:1], "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
+
+    parts = (
+        ids.toDF("id").where("id IS NOT NULL").mapInArrow(hashed, "segment long, bit long").distinct()
+        .groupBy("segment").applyInArrow(filled, "segment long, bits binary").toArrow()
+    )
+    whole = np.zeros((bits // SEGMENT, SEGMENT // 8), np.uint8)
+    for segment, raw in zip(parts["segment"].to_pylist(), parts["bits"], strict=True):
+        whole[segment] = np.frombuffer(raw.as_py(), np.uint8)
+    shared = spark.sparkContext.broadcast(whole.tobytes())
+
+    @F.arrow_udf("boolean")
+    def may(numbers: pa.Array) -> pa.Array:
+        bitmap = np.frombuffer(shared.value, np.uint8)
+        some = numbers.is_valid().to_numpy(zero_copy_only=False)
+        at = places(numbers.fill_null(0))
+        return pa.array((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & some)
+
+    return lambda number: may(number.cast("long"))
+
+
+def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in the one column of ``drop``; rows with a null id stay.
+
+    Most rows are told by a bitmap and stay where they are; only those that may have to go are shuffled.
+    """
+    drop = written(drop, "drop")
+    key, sure = fresh(docs, "drop_id", "sure")
+    may = screen_of(drop)
+    marked = docs.withColumn(sure, may(F.col("doc_id")))
+    gone = drop.toDF(key)
+    unsure = marked.where(F.col(sure)).join(gone, F.col("doc_id") == F.col(key), "left_anti")
+    return marked.where(~F.col(sure)).unionByName(unsure).select(*docs.columns)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before them where columns of ``df`` have them already."""
     taken = {c.lower() for c in df.columns}
@@ -63,14 +126,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def even_keys(spark: SparkSession, n: int) -> Column:
-    """An array of n whole numbers of which the i-th hashes to the i-th of n shuffle partitions."""
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n whole numbers of which the i-th, as an int, hashes to the i-th of n shuffle partitions."""
     place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).cast("int")
     reach, found = 32 * n + 256, {}
     while len(found) < n:
-        rows = spark.range(reach).groupBy(place.alias("place")).agg(F.min("id").cast("int").alias("key")).collect()
+        rows = spark.range(reach).groupBy(place.alias("place")).agg(F.min("id").alias("key")).collect()  # n rows
         found, reach = {r["place"]: r["key"] for r in rows}, 4 * reach
-    return F.array(*(F.lit(found[i]) for i in range(n))) if n < 4096 else F.from_json(F.lit(str([found[i] for i in range(n)])), "array<int>")
+    return [found[i] for i in range(n)]
+
+
+def one_of(keys: list[int], place: Column) -> Column:
+    """The key at a place."""
+    return F.from_json(F.lit(str(keys)), "array<int>")[place.cast("int")]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], rows: int = 4096, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -41,8 +41,8 @@ VOCABULARY = 1 << 20  # of the uniform part, which unseen words have too
 BITS = 12  # of the filter for each entry
 PROBES = 6
 BROADCAST_BYTES = 32 << 20
-PART_BYTES = 16 << 20  # of text, counted together
-SHARD_GRAMS = 4 << 20  # n-gram positions for each shard
+PART_BYTES = 12 << 20  # of text, counted together
+SHARD_GRAMS = 3 << 20  # n-gram positions for each shard
 _KEY = np.uint64(16)  # a key is the upper 48 bits of an n-gram's hash
 
 
@@ -103,8 +103,9 @@ def _sorted_keys(texts: pa.Array, order: int) -> Iterator[tuple[np.ndarray, np.n
         yield h >> _KEY, valid
 
 
-def _count(order: int, shards: int):
-    """Rows (shard, part, kind, grams): counted n-grams of order ``kind`` of each part of the corpus, by shard."""
+def _count(order: int, names: list[int]):
+    """Rows (shard, part, kind, grams): counted n-grams of order ``kind`` of each part of the corpus, by shard's name."""
+    shards, named = len(names), np.array(names, np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[list[np.ndarray]]] = {}
@@ -125,7 +126,7 @@ def _count(order: int, shards: int):
                 n = len(some)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(some.astype(np.int32)),
+                        pa.array(named[some]),
                         pa.array(np.full(n, part, np.int32)),
                         pa.array(np.full(n, kind + 1, np.int32)),
                         pa.array(grams, pa.binary()),
@@ -216,11 +217,11 @@ def _build(table: pa.Table) -> pa.Table:
     """A shard's filter."""
     _, keys, _, levels = _shard_keys(table)
     size, bits = build(keys, levels)
-    return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "size": pa.array([size], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+    return pa.table({"least": pa.array(keys[:1].astype(np.int64)), "size": pa.array([size], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """A shard's filter built and probed: rows (part, kind, shard, levels), the levels of each row's n-grams."""
+    """A shard's filter built and probed: rows (part, kind, least, levels), each row's n-grams' levels and the shard's least key."""
     rows, keys, place, levels = _shard_keys(table)
     size, bits = build(keys, levels)
     found = probed(keys, bits, np.uint64(size), 0)[place]
@@ -229,7 +230,7 @@ def _answer(table: pa.Table) -> pa.Table:
         {
             "part": pa.array([part for part, _, _ in rows], pa.int32()),
             "kind": pa.array([kind for _, kind, _ in rows], pa.int32()),
-            "shard": table["shard"].cast(pa.int32()),
+            "least": pa.array(np.full(len(rows), keys[0]).astype(np.int64)),
             "levels": pa.array([found[e - n : e].tobytes() for e, (_, _, n) in zip(ends, rows, strict=True)], pa.binary()),
         }
     )
@@ -302,7 +303,7 @@ def _score_part(order: int, total: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         column = texts["text"].combine_chunks()
         w = tx.words(column)
-        answers = answers.sort_by([("kind", "ascending"), ("shard", "ascending")])
+        answers = answers.sort_by([("kind", "ascending"), ("least", "ascending")])
         kinds = answers["kind"].to_numpy()
         levels = []
         for kind, (h, valid) in enumerate(ngrams(w, order), 1):
@@ -345,15 +346,17 @@ def scored(docs: DataFrame, order: int = ORDER, broadcast_bytes: int = BROADCAST
     total, size = size[0] or 0, size[1] or 0
     shards = max(1, -(-total * order // SHARD_GRAMS))
     parts = max(1, -(-size // part_bytes))
-    # A part's number hashes to the partition of its own, so that tasks are even.
-    number = rt.even_keys(spark, parts)[F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")]
+    # The numbers of parts and shards hash to partitions of their own, so that tasks are even.
+    number = rt.one_of(rt.even_keys(spark, parts), F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
     placed = texts.withColumn("part", number).repartition(parts, "part")
-    grams = placed.mapInArrow(_count(order, shards), "shard int, part int, kind int, grams binary").groupBy("shard")
+    counts = placed.mapInArrow(_count(order, rt.even_keys(spark, shards)), "shard int, part int, kind int, grams binary")
+    grams = counts.repartition(shards, "shard").groupBy("shard")
     if total * order * BITS // 8 + 8 * shards <= broadcast_bytes:
-        rows = grams.applyInArrow(_build, "shard int, size long, bits binary").toArrow().sort_by("shard")
-        held = Filter(shards, rows["shard"].to_numpy(), rows["size"].to_numpy(), b"".join(x.as_py() for x in rows["bits"]))
+        rows = grams.applyInArrow(_build, "least long, size long, bits binary").toArrow().sort_by("least")
+        places = shard_of(rows["least"].to_numpy().astype(np.uint64), shards)
+        held = Filter(shards, places, rows["size"].to_numpy(), b"".join(x.as_py() for x in rows["bits"]))
         return texts.mapInArrow(_score_broadcast(order, spark.sparkContext.broadcast(held), total), _SCORES)
-    answers = grams.applyInArrow(_answer, "part int, kind int, shard int, levels binary")
+    answers = grams.applyInArrow(_answer, "part int, kind int, least long, levels binary")
     return placed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score_part(order, total), _SCORES)
 
 
