@@ -1,15 +1,19 @@
 """SimHash near-duplicate groups by meet-in-the-middle ball hashing.
 
-Each document's set of words gives a fingerprint of ``BLOCKS`` x 32 bits. Per block every fingerprint emits all
-variants within ``RADIUS / 2`` flipped bits; two fingerprints within ``RADIUS`` bits in a block meet in a variant.
-A shuffle on the variants brings them together, equal sets of partners are dropped, and the rest is verified by the
-Hamming distance of whole fingerprints. Documents with equal fingerprints are joined beforehand, and in a variant's
-bucket all pairs are compared but only a spanning forest of the verified ones is returned, so thousands of copies
-cost what they have in rows, without a cap. Groups are the connected components.
-
-Recall. Documents that differ in a share p of their words differ in about p * 1.1 / 2 of the bits or fewer. At
-``ACCEPT`` = 30 of 192 bits (about 84 % of equal words) a pair is missed only where all six blocks differ in over two
-bits; the tests hold recall against all pairs.
+Each document's words, weighted by their number of up to ``WEIGHT``, give a fingerprint of ``BLOCKS`` x ``BITS`` bits.
+Per block every fingerprint emits all variants within ``RADIUS / 2`` flipped bits; two fingerprints within ``RADIUS``
+bits in a block meet in a variant. A shuffle on the variants brings them together, equal sets of partners are dropped,
+and the rest is verified by the Hamming distance of whole fingerprints. Documents with equal fingerprints are joined
+beforehand, so thousands of copies cost what they have in rows. Groups are the connected components.
+
+The ball is complete: of two fingerprints within ``ACCEPT`` = BLOCKS * (RADIUS + 1) - 1 bits, some block differs in
+``RADIUS`` bits or fewer, as otherwise they'd differ in more. So every pair within ``ACCEPT`` meets, without a cap, and
+the groups are those of all pairs. Unrelated documents differ in 40 bits and more. ``BITS`` should be about the
+logarithm of the number of documents or more, or buckets fill with documents that meet by chance.
+
+In a bucket the first document left takes all within ``ACCEPT`` of it to its cluster, until none is left; members of
+two clusters are compared only where the clusters aren't linked yet and the distance of their first documents allows a
+pair within ``ACCEPT``. So a bucket of n near copies costs about n comparisons for each cluster, not n² / 2.
 """
 
 from __future__ import annotations
@@ -25,11 +29,13 @@ from pyspark.sql.window import Window
 from quarry.llm import _runtime as rt
 from quarry.llm import _text as tx
 
-BLOCKS = 6
-BITS = 32
+BLOCKS = 7
+BITS = 27
 RADIUS = 2
-ACCEPT = 30
-_LONGS = BLOCKS * BITS // 64
+ACCEPT = BLOCKS * (RADIUS + 1) - 1
+WEIGHT = 8
+_LONGS = -(-BLOCKS * BITS // 64)
+_USED = np.frombuffer(np.packbits(np.arange(64 * _LONGS) < BLOCKS * BITS, bitorder="little").tobytes(), np.uint64)
 _SALT = [np.uint64(k * 0xA24BAED4963EE407 & (1 << 64) - 1) for k in range(1, _LONGS + 1)]
 _FLIPS = np.array([0] + [1 << b for b in range(BITS)], np.int64)  # the variants within RADIUS / 2 = 1 bit
 
@@ -38,8 +44,10 @@ def fingerprints(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the texts that have words, and for each the fingerprint as ``_LONGS`` 64-bit numbers."""
     w = tx.words(text)
     n = len(w.offsets) - 1
-    # Distinct words of each text, ordered by text.
-    pairs = tx.distinct(w.owners() * max(len(w.vocab), 1) + w.codes)
+    # The words of each text up to WEIGHT times, ordered by text.
+    pairs = np.sort(w.owners() * max(len(w.vocab), 1) + w.codes)
+    if len(pairs) > WEIGHT:
+        pairs = pairs[np.concatenate((np.ones(WEIGHT, bool), pairs[WEIGHT:] != pairs[:-WEIGHT]))]
     owner, code = pairs // max(len(w.vocab), 1), pairs % max(len(w.vocab), 1)
     h = w.hashes()
     bits = np.empty((len(h), _LONGS, 64), np.uint8)
@@ -60,7 +68,7 @@ def fingerprints(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         end = cuts[at + 64] if at + 64 < len(cuts) else len(owner)
         counted[at : at + 64] = np.add.reduceat(lanes[code[cuts[at] : end]], cuts[at : at + 64] - cuts[at], axis=0)
     ones = np.add.reduceat(counted.view(np.uint8), first, axis=0, dtype=np.int32)
-    return have, np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64)
+    return have, np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64) & _USED
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,18 +80,25 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def blocks_of(prints: np.ndarray) -> list[np.ndarray]:
+    """The blocks of fingerprints, as whole numbers."""
+    out = []
+    for block in range(BLOCKS):
+        k, at = divmod(block * BITS, 64)
+        part = prints[:, k] >> np.uint64(at)
+        if at + BITS > 64:
+            part = part | prints[:, k + 1] << np.uint64(64 - at)
+        out.append((part & np.uint64((1 << BITS) - 1)).astype(np.int64))
+    return out
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rt.chunks(batches, rows=2048):
         ids = batch.column(0).to_numpy()
-        for k in range(_LONGS):
-            prints = batch.column(1 + k).to_numpy()
-            for half in range(64 // BITS):
-                block = k * (64 // BITS) + half
-                part = (prints >> (BITS * half)) & 0xFFFFFFFF
-                keys = (part[:, None] ^ _FLIPS[None, :]) | (block << BITS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), pa.array(np.repeat(ids, len(_FLIPS)))], ["variant", "rep"]
-                )
+        prints = np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(_LONGS)], axis=1)
+        for block, part in enumerate(blocks_of(prints)):
+            keys = (part[:, None] ^ _FLIPS[None, :]) | (block << BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, len(_FLIPS)))], ["variant", "rep"])
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,24 +140,36 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def forest(ids: np.ndarray, prints: np.ndarray, accept: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs within ``accept`` bits, of all pairs."""
-    parent = np.arange(len(ids))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    edges = []
-    for i in range(len(ids) - 1):
-        for j in (np.flatnonzero(distance(prints[i + 1 :], prints[i]) <= accept) + i + 1).tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                edges.append((int(ids[a]), int(ids[b])))
-    return edges
+def _near(a: np.ndarray, b: np.ndarray, accept: int) -> tuple[int, int] | None:
+    """The places of some pair of a and b within ``accept`` bits."""
+    step = max(1, (1 << 20) // len(b))
+    for at in range(0, len(a), step):
+        hit = np.argwhere(distance(a[at : at + step, None], b[None]) <= accept)
+        if len(hit):
+            return int(hit[0, 0]) + at, int(hit[0, 1])
+    return None
+
+
+def forest(ids: np.ndarray, prints: np.ndarray, accept: int) -> np.ndarray:
+    """A spanning forest, as rows (a, b), of the graph of all pairs within ``accept`` bits."""
+    edges, clusters, left = [], [], np.arange(len(ids))
+    while len(left):
+        near = distance(prints[left], prints[left[0]]) <= accept
+        members, left = left[near], left[~near]
+        clusters.append(members)
+        edges.append(np.stack((np.full(len(members) - 1, ids[members[0]]), ids[members[1:]]), axis=1))
+    root = np.arange(len(clusters))
+    sizes = np.array([len(c) for c in clusters])
+    firsts = prints[[c[0] for c in clusters]]
+    for i in range(len(clusters) - 1):
+        # Two clusters of one document each are further apart than ``accept``.
+        other = np.flatnonzero((sizes[i + 1 :] > 1) | (sizes[i] > 1)) + i + 1
+        other = other[distance(firsts[other], firsts[i]) <= 3 * accept]
+        for j in other.tolist():
+            if root[i] != root[j] and (hit := _near(prints[clusters[i]], prints[clusters[j]], accept)):
+                edges.append(np.array([[ids[clusters[i][hit[0]]], ids[clusters[j][hit[1]]]]]))
+                root[root == root[j]] = root[i]
+    return np.concatenate(edges)
 
 
 def _verify(accept: int):
@@ -155,10 +182,9 @@ def _verify(accept: int):
         starts, sizes = runs(buckets)
         twos = starts[sizes == 2]
         near = twos[distance(prints[twos], prints[twos + 1]) <= accept]
-        edges = {*zip(reps[near].tolist(), reps[near + 1].tolist(), strict=True)}
-        for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            edges.update(forest(reps[at : at + n], prints[at : at + n], accept))
-        pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
+        edges = [np.stack((reps[near], reps[near + 1]), axis=1)]
+        edges += [forest(reps[at : at + n], prints[at : at + n], accept) for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True)]
+        pairs = np.concatenate(edges).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"]
         )
@@ -202,10 +228,14 @@ def near_duplicates(docs: DataFrame, accept: int = ACCEPT) -> DataFrame:
 
     Columns: doc_id, group_id (least doc_id of the group), group_size, kept (whether it is the one that stays).
 
-    Defined cases: rows with a null id, a null text or a text without words belong to no group. Rows that repeat an id
-    are one document; with differing texts it belongs to the least of their groups. Ties between kept documents don't
-    arise, as the least id stays. Columns besides doc_id and text are not read. An empty table gives no rows.
+    Defined cases: rows with a null id, a null text or a text without words belong to no group. Very long texts count
+    whole. Rows that repeat an id are one document; with differing texts it belongs to the least of their groups. Ties
+    between kept documents don't arise, as the least id stays; a bit whose weights tie is 0. Columns besides doc_id and
+    text, whatever their names, are not read. An empty table gives no rows. ``accept`` above ``ACCEPT`` is an error, as
+    pairs might not meet.
     """
+    if accept > ACCEPT:
+        raise ValueError(f"pairs within more than {ACCEPT} bits might not meet")
     signed = rt.written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -248,11 +278,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without those that are not the kept one of their group.
 
-    Of rows that repeat an id the first by text stays. Rows with a null id, or without words, stay.
+    Only texts that may have to go are shuffled (``_runtime.without``). Defined cases: of rows that repeat an id the first by text stays, of
+    equal ones any. Rows with a null id, and documents without words (null, empty or blank texts), stay; so do ties of
+    nothing else, as the least id of a group is the kept one. Very long texts are compared whole. An empty table stays
+    empty. Further columns, whatever their names, are passed on.
     """
     key, nth = rt.fresh(docs, "copy", "nth")
-    drop = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(key))
-    left = docs.join(drop, docs["doc_id"] == drop[key], "left_anti")
+    left = rt.without(docs, near_duplicates(docs).where("NOT kept").select("doc_id"))
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():
         again = rt.written(repeated.select(F.col("doc_id").alias(key)), "simhash-repeated")
