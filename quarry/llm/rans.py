@@ -10,8 +10,11 @@ there, so that parts of a block can be decoded in parallel and are verified by t
 from __future__ import annotations
 
 import base64
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,8 @@ from quarry.llm import _runtime as rt
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What the pattern counts as white space.
+SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 BLOCK = 1 << 18
 LANES = 512
 EVERY = 128
@@ -38,39 +43,68 @@ SCHEMA = (
 )
 
 
-def encoder(path: str):
-    """The byte-pair encoder of a file of ranks, made once in a process."""
+def encoder(path: str, lines: bytes | None = None):
+    """The byte-pair encoder of a file of ranks, made once in a process; ``lines`` are what the file holds."""
     if path not in _ENCODERS:
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        raw = Path(path).read_bytes() if lines is None else lines
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
         _ENCODERS[path] = tiktoken.Encoding(
             "quarry", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=len(ranks)
         )
     return _ENCODERS[path]
 
 
-def ids_of(text: str | None, path: str, most: int = 1 << 18) -> np.ndarray:
+def _kind(c: str) -> str:
+    return " " if c in SPACES else unicodedata.category(c)[0]
+
+
+def _ends_at(text: str, i: int) -> bool:
+    """Whether a piece of the pattern surely ends before character i, and those before and after it are split alike if
+    the text is cut there: before white space that follows something else, as white space only begins a piece; and after
+    a letter or number, unless more of its kind follow."""
+    before, after = _kind(text[i - 1]), _kind(text[i])
+    return before != after and (after == " " or before in "LN") and before != " "
+
+
+def _parts(text: str, most: int) -> Iterator[str]:
+    at = 0
+    while at < len(text):
+        to = at + most
+        if to < len(text):
+            to = next((i for i in range(to, at, -1) if _ends_at(text, i)), 0) or next(
+                (i for i in range(to + 1, len(text)) if _ends_at(text, i)), len(text)
+            )
+        yield text[at:to]
+        at = to
+
+
+def ids_of(text: str | None, path: str, most: int = 1 << 18, blank: int = 1 << 14) -> np.ndarray:
     """The token ids of a text.
 
-    Longer texts go to the tokeniser in parts, cut before a single space, where the pattern always ends a piece; so the
-    ids are those of the whole text. Only a run of over ``most`` characters without such a space is cut within.
+    Longer texts go to the tokeniser in parts, cut where the pattern ends a piece whatever stands around (``_ends_at``):
+    at the last such place before ``most`` characters, or else at the first one after them. So the ids are always those
+    of the whole text; a single piece that is longer is not cut. Runs of more than ``blank`` white spaces, which exhaust
+    the tokeniser's pattern, are given to it as the piece that the pattern makes of them: all but the last one, which
+    goes with what follows.
     """
-    encode = encoder(path).encode_to_numpy
+    coder = encoder(path)
     if not text:
         return np.zeros(0, np.uint32)
-    parts, at = [], 0
-    while at < len(text):
-        to = min(len(text), at + most)
-        if to < len(text):
-            cut = text.rfind(" ", at + 1, to - 1)
-            while cut > at and (text[cut - 1].isspace() or text[cut + 1].isspace()):
-                cut = text.rfind(" ", at + 1, cut)
-            to = cut if cut > at else to
-        parts.append(encode(text[at:to], allowed_special=set(), disallowed_special=()))
-        at = to
-    return np.concatenate(parts)
+    out, at = [], 0
+
+    def put(upto: int) -> None:
+        for part in _parts(text[at:upto], most):
+            out.append(coder.encode_to_numpy(part, allowed_special=set(), disallowed_special=()))
+
+    if len(text) > blank:
+        for m in re.finditer(f"[{''.join(SPACES)}]{{{blank + 1},}}", text):
+            put(m.start())
+            at = m.end() - (m.end() < len(text))
+            out.append(np.array(coder._encode_single_piece(text[m.start() : at]), np.uint32))
+    put(len(text))
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
 def _packed(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -81,8 +115,9 @@ def _packed(rows: list[tuple], schema: str) -> pa.RecordBatch:
     )
 
 
-def _tokenise(path: str, block: int):
+def _tokenise(path: str, ranks, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder(path, ranks.value)
         task, number = TaskContext.get().partitionId(), 0
         parts: list[np.ndarray] = []
         docs: list[tuple] = []
@@ -243,12 +278,14 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK) ->
     has the symbols in ``states`` and their frequencies in ``payload``, four bytes each.
 
     Defined cases: a null text counts as empty, and an empty one as a document of no tokens. A null id stays null. Rows
-    that repeat an id are coded each. A text longer than a block continues in the next. An empty table gives only the
-    table's row, without symbols. Other columns are not read.
+    that repeat an id, or that tie in anything, are coded each. A very long text is tokenised whole, and where it is
+    longer than a block it continues in the next. An empty table gives only the table's row, without symbols. Other
+    columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
+    ranks = spark.sparkContext.broadcast(Path(tokenizer).read_bytes())  # the file need be on the driver's machine only
     blocks = rt.written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenise(tokenizer, block), _IDS),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenise(tokenizer, ranks, block), _IDS),
         "rans-ids",
     )
     # As many rows reach the driver as the vocabulary has symbols.
@@ -291,7 +328,12 @@ def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The coded blocks of all documents."""
+    """The coded blocks of all documents, in their order; see ``encoded`` for the columns.
+
+    Defined cases are those of ``encoded``: null and empty texts are documents of no tokens, null ids stay null, rows that
+    repeat an id or tie are coded each, very long texts go on from block to block, an empty table gives the frequency
+    table's row alone, and further columns, whatever their names, are not read.
+    """
     return encoded(docs)
 
 
