@@ -125,14 +125,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mixture, in its order. Of rows that repeat an id the one that was counted stays.
+    """The documents of the mixture, in its order.
 
-    Rows with a null id are in no mixture and go.
+    Texts that a bitmap of the mixture's ids tells to be out of it are not shuffled. Defined cases: of rows that repeat
+    an id the one that was counted stays, of those that tie the first by text, of equal ones any. Null and empty texts
+    have no tokens and stay where their place is before the cut; very long ones count whole. Rows with a null id are in
+    no mixture and go. An empty table stays empty. Further columns, whatever their names, are passed on.
     """
     key, place, tokens, nth = rt.fresh(docs, "mixed", "place", "tokens", "nth")
-    mixed = mixture(docs).select(F.col("doc_id").alias(key), F.col("place").alias(place))
+    mixed = rt.written(mixture(docs).select(F.col("doc_id").alias(key), F.col("place").alias(place)), "mixing-places")
+    may = rt.screen_of(mixed.select(key))
     one = Window.partitionBy(key).orderBy(F.col(tokens).desc(), F.coalesce("source", F.lit("")), "text")
-    joined = docs.join(mixed, docs["doc_id"] == mixed[key])
+    joined = docs.where(may(F.col("doc_id"))).join(mixed, F.col("doc_id") == F.col(key))
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():
         joined = (
