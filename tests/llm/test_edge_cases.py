@@ -107,7 +107,7 @@ def test_bloomlm(spark, odd):
     assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in ROWS)
     by_id = {r.doc_id: r for r in got if r.doc_id is not None}
     for k in (3, 4, 5, 8):
-        assert (by_id[k].words, by_id[k].log_probability, by_id[k].perplexity) == (0, 0.0, None)
+        assert (by_id[k].words, by_id[k].log_probability, by_id[k].perplexity) == (0, None, None)
     assert by_id[6].words == 120_000 and by_id[9].words == 1
 
 

@@ -42,6 +42,15 @@ def test_decontaminate_random(spark, documents, same, threshold):
     same(got, decontaminate.sql(threshold=threshold), documents=docs, benchmark=items)
 
 
+def test_decontaminate_short_items(spark, documents, same):
+    """Items of fewer words than a shingle are found where all their words stand in order."""
+    docs = documents([(1, "one Two, three four five"), (2, "two three"), (3, "three two"), (4, "one two three")])
+    items = spark.createDataFrame([(1, "one two three four"), (2, "two three"), (3, "four"), (4, "two one"), (5, " ")], "item_id long, text string")
+    got = decontaminate.contaminated(docs, items)
+    same(got, decontaminate.sql(), documents=docs, benchmark=items)
+    assert {(r.item_id, r.doc_id) for r in got.collect()} == {(1, 1), (2, 1), (2, 2), (2, 4), (3, 1)}
+
+
 # Suffix-array dedup
 
 
@@ -227,62 +236,64 @@ def test_cotraining_counts_features_over_all_batches(words):
     assert got == counts(iter([batch])) and max(got.values()) == 8
 
 
-def test_bloomlm_equals_brute_force(documents):
-    rng = random.Random(4)
-    rows = [(i, " ".join(rng.choices("abcdefghij", weights=range(1, 11), k=rng.randint(0, 80)))) for i in range(60)]
-    got = {r.doc_id: r for r in bloomlm.scored(documents(rows)).collect()}
+def _brute_scores(texts, counts_as=lambda c: c):
+    """Mean log-probabilities from raw counts, by the formula of the docstring."""
     counts = [Counter() for _ in range(bloomlm.ORDER)]
-    for _, text in rows:
-        w = text.split()
+    for t in texts:
         for n in range(1, bloomlm.ORDER + 1):
-            counts[n - 1].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
-    stands = lambda c: float(bloomlm.count_of(bloomlm.level_of(np.array([c])))[0])
-    total, vocabulary, lam = sum(counts[0].values()), len(counts[0]), bloomlm.LAMBDA
-    close = 0
-    for doc_id, text in rows:
-        w, logs = text.split(), 0.0
-        for i in range(len(w)):
-            p, mass = lam[0] / vocabulary + lam[1] * stands(counts[0][(w[i],)]) / total, lam[0] + lam[1]
+            counts[n - 1].update(tuple(t[i : i + n]) for i in range(len(t) - n + 1))
+    total, lam, out = sum(counts[0].values()), bloomlm.LAMBDA, []
+    for t in texts:
+        logs = 0.0
+        for i in range(len(t)):
+            p = lam[0] / bloomlm.VOCABULARY + lam[1] * counts_as(counts[0][(t[i],)]) / total
+            mass = lam[0] + lam[1]
             for n in range(2, min(i + 1, bloomlm.ORDER) + 1):
-                gram = tuple(w[i - n + 1 : i + 1])
-                context = stands(counts[n - 2][gram[:-1]])
-                p += lam[n] * (min(1.0, stands(counts[n - 1][gram]) / context) if context else 0.0)
-                mass += lam[n]
+                gram = tuple(t[i - n + 1 : i + 1])
+                whole, context = counts_as(counts[n - 1][gram]), counts_as(counts[n - 2][gram[:-1]])
+                p, mass = p + lam[n] * min(1.0, max(whole - bloomlm.DISCOUNT, 0) / context), mass + lam[n]
             logs += math.log(p / mass)
-        assert got[doc_id].words == len(w)
-        close += abs(got[doc_id].log_probability - logs) <= 0.02 * max(1.0, abs(logs))
-    assert close >= 57  # a false positive of the filter may raise a level
+        out.append(logs / len(t) if t else None)
+    return out
 
 
-def test_bloomlm_holds_what_occurs_once(documents, words):
-    """Against the counts themselves, which levels give exactly up to 3: most n-grams here occur once."""
+@pytest.mark.parametrize("way", ["broadcast", "routed"])
+def test_bloomlm_equals_raw_counts(documents, words, way):
+    """Counts up to 3 are exact, so scores are those of the counts themselves; most n-grams here occur once."""
     assert bloomlm.count_of(bloomlm.level_of(np.arange(4))).tolist() == [0, 1, 2, 3]
     few = words(40)
-    texts = [words(12) + few[i : i + 8] for i in range(0, 40, 4)]
-    counts = [Counter() for _ in range(bloomlm.ORDER)]
-    for t in texts:
-        for n in range(1, bloomlm.ORDER + 1):
-            counts[n - 1].update(tuple(t[i : i + n]) for i in range(len(t) - n + 1))
-    total, lam = sum(counts[0].values()), bloomlm.LAMBDA
-    got = {r.doc_id: r for r in bloomlm.scored(documents([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
-    near = 0
-    for d, t in enumerate(texts):
-        want = 0.0
-        for i in range(len(t)):
-            p, mass = lam[0] / len(counts[0]) + lam[1] * counts[0][(t[i],)] / total, lam[0] + lam[1]
-            for n in range(2, min(i + 1, bloomlm.ORDER) + 1):
-                gram = tuple(t[i - n + 1 : i + 1])
-                p, mass = p + lam[n] * counts[n - 1][gram] / counts[n - 2][gram[:-1]], mass + lam[n]
-            want += math.log(p / mass)
-        near += abs(got[d].log_probability - want) < 1e-6
+    texts = [words(12) + few[i : i + 8] for i in range(0, 40, 4)] * 1 + [[]]
+    bound = {"broadcast": bloomlm.BROADCAST_BYTES, "routed": 0}[way]
+    rows = documents([(i, " ".join(t)) for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in bloomlm.scored(rows, broadcast_bytes=bound, part_bytes=500).collect()}
+    want = _brute_scores(texts)
+    assert got[len(texts) - 1].log_probability is None and want[-1] is None
+    near = sum(abs(got[i].log_probability - w) < 1e-9 for i, w in enumerate(want) if w is not None)
     assert near >= 8  # a filter's errors raise a level now and then
 
 
-def test_bloomlm_in_parts(documents, words):
-    """Filters that are broadcast a part at a time give the same scores."""
+def test_bloomlm_large_counts(documents):
+    """Larger counts are off by at most half a level's width."""
+    rng = random.Random(4)
+    texts = [rng.choices("abcdefghij", weights=range(1, 11), k=rng.randint(1, 80)) for _ in range(60)]
+    got = {r.doc_id: r.log_probability for r in bloomlm.scored(documents([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert max(abs(got[i] - w) for i, w in enumerate(_brute_scores(texts))) < 0.25
+    stands = lambda c: float(bloomlm.count_of(bloomlm.level_of(np.array([c])))[0])
+    assert sum(abs(got[i] - w) < 1e-6 for i, w in enumerate(_brute_scores(texts, stands))) >= 50
+
+
+def test_bloomlm_ways_agree(documents, words):
+    """Broadcast or routed to the shards, in one part or many, one shard or many: the same scores."""
     pool, rng = words(50), random.Random(1)
     docs = documents([(i, " ".join(rng.choices(pool, k=30))) for i in range(30)])
-    assert sorted(bloomlm.scored(docs).collect()) == sorted(bloomlm.scored(docs, broadcast_bytes=3000).collect())
+    by_id = lambda df: [(r.doc_id, r.words, round(r.log_probability, 9)) for r in sorted(df.collect())]
+    assert by_id(bloomlm.scored(docs)) == by_id(bloomlm.scored(docs, broadcast_bytes=0)) == by_id(bloomlm.scored(docs, broadcast_bytes=0, part_bytes=700))
+
+
+def test_bloomlm_tells_what_occurs_twice(documents, words):
+    rows = [(i, " ".join(words(60))) for i in range(40)]
+    got = {r.doc_id: r.log_probability for r in bloomlm.scored(documents(rows + [(100 + i, rows[i][1]) for i in range(10)])).collect()}
+    assert min(got[i] for i in range(10)) > max(got[i] for i in range(10, 40))
 
 
 def test_bloomlm_pack():
@@ -304,7 +315,7 @@ def test_simhash_recall(spark):
     near = [(int(ids[i]), int(ids[j])) for i in range(len(ids)) for j in np.flatnonzero(simhash.distance(prints[i + 1 :], prints[i]) <= simhash.ACCEPT) + i + 1]
     group = {r.doc_id: r.group_id for r in simhash.near_duplicates(table).collect()}
     together = [group.get(a, -1) == group.get(b, -2) for a, b in near]
-    assert len(near) > 50 and np.mean(together) >= 0.9
+    assert len(near) > 50 and all(together)
     # Groups are no larger than brute force's.
     parent = {}
 
@@ -445,6 +456,34 @@ def test_rans_splits_long_texts_without_changing_ids():
     assert rans.ids_of(text, rans.TOKENIZER, most=1000).tolist() == encoder.encode_ordinary(text)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "\n".join(f"line{i}" for i in range(3000)),
+        "\t\t".join(f"cell{i}" for i in range(3000)),
+        "a  b   c\n\n d \n e" * 900,
+        "it's don't! 'll x'sy 's5" * 900,
+        "abc123DEF456" * 1500,
+        "e" * 5000 + "1" * 5000,
+        "日本語テキスト。" * 1500,
+        "word\u2003em\u00a0nbsp\x1cfs" * 900,
+    ],
+)
+def test_rans_cuts_only_where_pieces_end(text):
+    want = rans.encoder(rans.TOKENIZER).encode_ordinary(text)
+    assert rans.ids_of(text, rans.TOKENIZER, most=997).tolist() == want
+    assert rans.ids_of(text, rans.TOKENIZER, most=997, blank=1).tolist() == want
+
+
+def test_rans_long_lines_and_blanks():
+    """440,000 characters of lines give the tokeniser's ids; a run of a million blanks, which its pattern can't take, goes."""
+    encoder = rans.encoder(rans.TOKENIZER)
+    lines = "\n".join(["word here"] * 44_000)
+    assert rans.ids_of(lines, rans.TOKENIZER).tolist() == encoder.encode_ordinary(lines)
+    for text in ("a" + " " * 1_000_000 + "b", "a" + "\n" * 1_000_000, "\n" * 1_000_000 + "x"):
+        assert encoder.decode(rans.ids_of(text, rans.TOKENIZER).tolist()) == text
+
+
 # Exact top-k search
 
 
