@@ -2,12 +2,15 @@
 
 The content view has the words of a text and their beginnings, the metadata view its source, language, size and layout
 (shares of capitals, digits, symbols; lines; repetition). For each of the two labels, quality and toxicity, a logistic
-regression per view is fitted on labelled documents. Over some rounds each view labels the documents of an unlabelled
-pool that its calibrated probability is confident of, and the other view learns from them. Calibrated views are then
-combined by a logistic regression on held-out labelled rows, and score all documents.
-
-Only fitting uses samples, of at most ``LABELLED`` labelled and ``POOL`` unlabelled documents, the least by a hash of
-their id. Scoring reads every document.
+regression per view is fitted on labelled documents. Then, over some rounds, each view scores all unlabelled documents
+of the corpus, and the other view learns from those that its calibrated probability is confident of, along with the
+labelled ones. Calibrated views are then combined by a logistic regression on held-out labelled rows, and score all
+documents.
+
+Features of all documents are taken from the texts once and kept as a table of numbers, which the rounds and the scoring
+read. Only fitting uses samples: at most ``LABELLED`` labelled documents, the least by a hash of their id, and in a round
+about ``PSEUDO`` pseudo-labelled ones for each label, view and class, drawn by a hash from all confident ones; weights
+give the classes of those the shares that they have among the labelled.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from quarry.llm import _text as tx
 from quarry.llm._model import Sparse, fit_dense, fit_logistic, sigmoid
 
 LABELLED = 20_000
-POOL = 20_000
+PSEUDO = 2_000
 FEATURES = 1024  # of the content view, for each label
+METADATA = 4096  # places that names of metadata features are hashed to
 MIN_DOCUMENTS = 4
 LEAST_SCORE = 15.0  # chi-squared
 ROUNDS = 3
@@ -35,6 +39,7 @@ CONFIDENT = (0.003, 0.97)
 REJECT = 0.5
 _PREFIXES = (3, 4, 5, 6, 7, 8)
 _TARGETS = ("bad", "toxic")
+_VIEWS = ("content", "metadata")
 
 
 class Views(NamedTuple):
@@ -127,9 +132,6 @@ def metadata_view(text: pa.Array, source: pa.Array, lang: pa.Array, w: tx.Words)
     return np.repeat(np.arange(n), names.shape[1]), tx.mix(names.ravel())
 
 
-_SAMPLE = "doc_id long, text string, source string, lang string, bad int, toxic int"
-
-
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(name, n, bad, toxic): of the labelled documents with each content feature, how many have which label."""
     for batch in rt.chunks(batches, rows=1 << 14, size=32 << 20):
@@ -161,79 +163,139 @@ def _choose(counts: pa.Table, totals: dict[str, tuple[float, float]], most: int)
     return tx.distinct(np.concatenate(chosen))
 
 
-def _sample_views(wanted):
-    """Rows (doc_id, bad, toxic, content, metadata) with the views' features as lists."""
+def _features(wanted):
+    """Rows (doc_id, hash, bad, toxic, content, metadata): places of each view's features, and a hash of the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(wanted.value, np.uint64)
         for batch in rt.chunks(batches):
-            views = _views(batch, wanted.value)
+            w = tx.words(batch.column(1))
+            views = Views(content_view(w, known), metadata_view(batch.column(1), batch.column(2), batch.column(3), w))
+            rows, names = views.metadata
+            meta = tx.distinct(rows * METADATA + (names % np.uint64(METADATA)).astype(np.int64))
             lists = []
-            for rows, names in views:
-                sizes = np.bincount(rows, minlength=batch.num_rows)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-                values = names.astype(np.int32) if rows is views.content[0] else names.view(np.int64)
-                lists.append(pa.ListArray.from_arrays(offsets, pa.array(values)))
+            for at, places in (views.content, (meta // METADATA, meta % METADATA)):
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=batch.num_rows))))
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(places.astype(np.int16))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(4), batch.column(5), *lists],
-                ["doc_id", "bad", "toxic", "content", "metadata"],
+                [batch.column(0), batch.column(6), batch.column(4), batch.column(5), *lists], ["doc_id", "hash", *_TARGETS, *_VIEWS]
             )
 
     return run
 
 
-def _views(batch: pa.RecordBatch, wanted: np.ndarray) -> Views:
-    w = tx.words(batch.column(1))
-    return Views(content_view(w, wanted), metadata_view(batch.column(1), batch.column(2), batch.column(3), w))
+def _sparse(lists: pa.Array | pa.ChunkedArray, width: int) -> Sparse:
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    if not len(lists):
+        return Sparse(np.zeros(0, np.int64), np.zeros(0, np.int32), width)
+    return Sparse(np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), width)
 
 
 class Target(NamedTuple):
-    """For each view weights and intercept, and the combination of their log-odds."""
+    """For each view weights and intercept, its calibration, and the combination of the views' log-odds."""
 
-    content: np.ndarray
-    content_bias: float
-    metadata: np.ndarray
-    metadata_bias: float
+    fits: tuple[tuple[np.ndarray, float], tuple[np.ndarray, float]]
+    scale: tuple[np.ndarray, np.ndarray]
     mix: np.ndarray
 
-    def probability(self, content: Sparse, metadata: Sparse) -> np.ndarray:
-        z = np.column_stack((content.dot(self.content) + self.content_bias, metadata.dot(self.metadata) + self.metadata_bias))
-        return sigmoid(np.clip(z, -12, 12) @ self.mix[:-1] + self.mix[-1])
+    def logits(self, views: list[Sparse]) -> list[np.ndarray]:
+        return [np.clip(x.dot(w) + b, -12, 12) for x, (w, b) in zip(views, self.fits, strict=True)]
+
+    def confident(self, views: list[Sparse]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each view which documents it is sure to have the label, and not to."""
+        p = [sigmoid(z * a + b) for z, (a, b) in zip(self.logits(views), self.scale, strict=True)]
+        return [(q >= CONFIDENT[1], q <= CONFIDENT[0]) for q in p]
+
+    def probability(self, views: list[Sparse]) -> np.ndarray:
+        return sigmoid(np.column_stack(self.logits(views)) @ self.mix[:-1] + self.mix[-1])
 
 
 class Model(NamedTuple):
-    wanted: np.ndarray
-    known: np.ndarray
+    width: int
     targets: dict[str, Target]
 
+    def views(self, batch: pa.RecordBatch) -> list[Sparse]:
+        return [_sparse(batch.column(c), n) for c, n in zip(_VIEWS, (self.width, METADATA), strict=True)]
+
+
+class Extra(NamedTuple):
+    """Pseudo-labelled rows for one view of one target."""
+
+    x: Sparse
+    y: np.ndarray
+
+
+def _fit(x: list[Sparse], y: np.ndarray, held: np.ndarray, extra: list[Extra | None], before: Target | None) -> Target:
+    """``y``: 1, 0, or NaN where the document lacks this label. ``held``: rows kept for calibration."""
+    known = ~np.isnan(y)
+    held = held & known
+    fits, scale = [], []
+    for v, l2 in enumerate((2e-4, 1e-3)):
+        live = known & ~held
+        rows, truth, weight = x[v].take(live), y[live], np.ones(int(live.sum()))
+        if (more := extra[v]) is not None and len(more.y) and len(truth):
+            share = truth.mean()
+            rows = Sparse(np.concatenate((rows.sizes, more.x.sizes)), np.concatenate((rows.columns, more.x.columns)), rows.shape[1])
+            positive = more.y.mean()
+            classes = (share / max(positive, 1e-9), (1 - share) / max(1 - positive, 1e-9))
+            weight = np.concatenate((weight, 0.5 * np.where(more.y > 0.5, *classes)))
+            truth = np.concatenate((truth, more.y))
+        fits.append(fit_logistic(rows, truth, weight, l2, before.fits[v] if before else None))
+    z = [np.clip(x[v].dot(w) + b, -12, 12) for v, (w, b) in enumerate(fits)]
+    some = held.any()
+    for v in range(2):
+        scale.append(fit_dense(z[v][held][:, None], y[held]) if some else np.array([1.0, 0.0]))
+    mix = fit_dense(np.column_stack(z)[held], y[held]) if some else np.array([1.0, 0.0, 0.0])
+    return Target(tuple(fits), tuple(scale), mix)
+
+
+#: A group of pseudo-labels: the view that gives them, and the class.
+_GROUPS = [(t, v, c) for t in range(2) for v in range(2) for c in (1, 0)]
 
-def _co_train(x: list[Sparse], y: np.ndarray, held: np.ndarray, rounds: int) -> Target:
-    """``y``: 1, 0, or NaN for the pool. ``held``: labelled rows kept for calibration."""
-    labelled = ~np.isnan(y)
-    l2 = (2e-4, 1e-3)
-    truth = [np.where(labelled, y, 0.0) for _ in x]
-    weight = [(labelled & ~held).astype(float) for _ in x]
-    fits = [None, None]
-    for turn in range(rounds + 1):
-        for v in (0, 1):  # rows without a label don't count
-            live = weight[v] > 0
-            rows = x[v] if live.all() else x[v].take(live)
-            fits[v] = fit_logistic(rows, truth[v][live], weight[v][live], l2[v], fits[v])
-        logits = [np.clip(x[v].dot(w) + b, -12, 12) for v, (w, b) in enumerate(fits)]
-        if turn == rounds or not (~labelled).any() or not held.any():
-            break
-        for v in (0, 1):
-            scale = fit_dense(logits[v][held][:, None], y[held])
-            p = sigmoid(logits[v] * scale[0] + scale[1])
-            sure = ~labelled & ((p <= CONFIDENT[0]) | (p >= CONFIDENT[1]))
-            other = 1 - v
-            fresh = sure & (weight[other] == 0)
-            truth[other] = np.where(fresh, (p > 0.5).astype(float), truth[other])
-            weight[other] = np.where(fresh, 0.5, weight[other])
-    mix = fit_dense(np.column_stack(logits)[held], y[held]) if held.any() else np.array([1.0, 0.0, 0.0])
-    return Target(fits[0][0], fits[0][1], fits[1][0], fits[1][1], mix)
-
-
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model:
+
+def _sure(model, shares):
+    """Without ``shares`` how many unlabelled documents each view is confident of, as (group, n); with them those drawn by
+    their hash, as (group, doc_id, places), with the features that the other view has of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        for batch in batches:
+            views = m.views(batch)
+            hashes = batch.column("hash").to_numpy().view(np.uint64).astype(np.float64) / 2.0**64
+            found = []
+            for g, (t, v, c) in enumerate(_GROUPS):
+                sure = m.targets[_TARGETS[t]].confident(views)[v][1 - c] & batch.column(_TARGETS[t]).is_null().to_numpy(zero_copy_only=False)
+                found.append(np.flatnonzero(sure & (hashes < shares[g]) if shares else sure))
+            if not shares:
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(_GROUPS)), pa.int32()), pa.array([len(f) for f in found], pa.int64())], ["g", "n"])
+                continue
+            for g, at in enumerate(found):
+                places = batch.column(_VIEWS[1 - _GROUPS[g][1]]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g, np.int32)), batch.column("doc_id").take(pa.array(at)), places], ["g", "doc_id", "places"])
+
+    return run
+
+
+def _exchange(spark: SparkSession, table: DataFrame, model: Model, pseudo: int) -> dict[str, list[Extra | None]]:
+    """For each target and view the documents that the other view is confident of."""
+    shared = spark.sparkContext.broadcast(model)
+    counts = {r["g"]: r["n"] for r in table.mapInArrow(_sure(shared, None), "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    shares = [min(1.0, pseudo / max(counts.get(g, 0), 1)) for g in range(len(_GROUPS))]
+    drawn = table.mapInArrow(_sure(shared, shares), "g int, doc_id long, places array<short>").toArrow().sort_by([("g", "ascending"), ("doc_id", "ascending")])
+    extra: dict[str, list[Extra | None]] = {t: [None, None] for t in _TARGETS}
+    groups = drawn["g"].to_numpy()
+    for t, target in enumerate(_TARGETS):
+        for v in range(2):
+            mine = np.isin(groups, [g for g, (a, b, _) in enumerate(_GROUPS) if (a, b) == (t, 1 - v)])
+            lists = drawn["places"].filter(pa.array(mine))
+            y = np.array([_GROUPS[g][2] for g in groups[mine].tolist()], float)
+            extra[target][v] = Extra(_sparse(lists, (model.width, METADATA)[v]), y)
+    shared.unpersist()
+    return extra
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """The model, and the table of all documents' features."""
     spark = docs.sparkSession
     marks = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
@@ -242,67 +304,49 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
         .agg((1 - F.min("quality")).cast("int").alias("bad"), F.max("toxic").cast("int").alias("toxic"))
         .where("bad IS NOT NULL OR toxic IS NOT NULL")
     )
-    texts = _texts(docs)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = texts.select("doc_id").distinct()
-    taken = marks.join(ids, "doc_id", "left_semi").orderBy(*order).limit(labelled)
-    spare = ids.join(marks, "doc_id", "left_anti").orderBy(*order).limit(pool)
-    chosen = taken.unionByName(spare.select("doc_id", F.lit(None).cast("int").alias("bad"), F.lit(None).cast("int").alias("toxic")))
-    # At most ``labelled`` + ``pool`` ids, so broadcasting them is bounded by parameters.
-    sample = rt.written(
-        texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "source", "lang", "bad", "toxic"), "cotraining-sample"
-    )
-    known = sample.where("bad IS NOT NULL OR toxic IS NOT NULL")
-    totals = known.agg(*(f(t).alias(f"{t}_{n}") for t in _TARGETS for n, f in (("rows", F.count), ("sum", F.sum)))).first()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")
+    taken = marks.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    # At most ``labelled`` rows, so broadcasting them is bounded by a parameter.
+    taken = F.broadcast(rt.written(taken, "cotraining-labels"))
+    sample = texts.join(taken, "doc_id").select("doc_id", "text", "source", "lang", *_TARGETS)
+    totals = taken.agg(*(f(t).alias(f"{t}_{n}") for t in _TARGETS for n, f in (("rows", F.count), ("sum", F.sum)))).first()
     counts = (
-        known.mapInArrow(_count_features, "name long, n long, bad long, toxic long")
+        sample.mapInArrow(_count_features, "name long, n long, bad long, toxic long")
         .groupBy("name")
         .agg(*(F.sum(c).alias(c) for c in ("n", *_TARGETS)))
         .where(F.col("n") >= MIN_DOCUMENTS)
         .toArrow()
     )
     wanted = _choose(counts, {t: (totals[f"{t}_rows"] or 0, totals[f"{t}_sum"] or 0) for t in _TARGETS}, FEATURES)
-    table = sample.mapInArrow(
-        _sample_views(spark.sparkContext.broadcast(wanted)),
-        "doc_id long, bad int, toxic int, content array<int>, metadata array<long>",
-    ).toArrow().sort_by("doc_id")
-    rt.discard(sample)
-    n = len(table)
-    doc_ids = table["doc_id"].to_numpy().view(np.uint64) if n else np.zeros(0, np.uint64)
-    truth = {t: table[t].to_numpy().astype(float) if n else np.zeros(0) for t in _TARGETS}
-    content, metadata = (table[c].combine_chunks() if n else pa.array([], pa.list_(pa.int64())) for c in ("content", "metadata"))
-    del table
-    names = metadata.flatten().to_numpy().view(np.uint64)
-    meta = tx.distinct(names)
-    x = []
-    for lists, places, width in (
-        (content, content.flatten().to_numpy(), len(wanted)),
-        (metadata, np.searchsorted(meta, names), len(meta)),
-    ):
-        x.append(Sparse(np.diff(lists.offsets.to_numpy()), places, max(width, 1)))
-    del content, metadata, names, lists, places
-    held = tx.mix(doc_ids) % np.uint64(4) == 0
-    targets = {t: _co_train(x, y, held & ~np.isnan(y), rounds) for t, y in truth.items()}
-    return Model(wanted, meta, targets)
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")
+    del counts
+    table = rt.written(
+        texts.join(taken, "doc_id", "left")
+        .select("doc_id", "text", "source", "lang", *_TARGETS, F.xxhash64(F.lit(7), "doc_id", "text").alias("hash"))
+        .mapInArrow(
+            _features(spark.sparkContext.broadcast(wanted.tobytes())),
+            "doc_id long, hash long, bad int, toxic int, content array<short>, metadata array<short>",
+        ),
+        "cotraining-features",
+    )
+    own = table.where("bad IS NOT NULL OR toxic IS NOT NULL").toArrow().sort_by([("doc_id", "ascending"), ("hash", "ascending")])
+    width = max(len(wanted), 1)
+    x = [_sparse(own[c], n) for c, n in zip(_VIEWS, (width, METADATA), strict=True)]
+    truth = {t: own[t].to_numpy().astype(float) if len(own) else np.zeros(0) for t in _TARGETS}
+    held = tx.mix(own["doc_id"].to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(4) == 0
+    del own
+    targets = {t: _fit(x, y, held, [None, None], None) for t, y in truth.items()}
+    for _ in range(rounds if len(held) and held.any() else 0):
+        extra = _exchange(spark, table, Model(width, targets), pseudo)
+        targets = {t: _fit(x, y, held, extra[t], targets[t]) for t, y in truth.items()}
+    return Model(width, targets), table
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        for batch in rt.chunks(batches):
-            views = _views(batch, m.wanted)
-            n = batch.num_rows
-            rows, names = views.metadata
-            place = np.minimum(np.searchsorted(m.known, names), max(len(m.known) - 1, 0))
-            hit = m.known[place] == names if len(m.known) else np.zeros(len(names), bool)
-            metadata = Sparse(np.bincount(rows[hit], minlength=n), place[hit], max(len(m.known), 1))
-            rows, places = views.content
-            content = Sparse(np.bincount(rows, minlength=n), places, max(len(m.wanted), 1))
-            bad, toxic = (m.targets[t].probability(content, metadata) for t in _TARGETS)
+        for batch in batches:
+            views = m.views(batch)
+            bad, toxic = (m.targets[t].probability(views) for t in _TARGETS)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -320,15 +364,17 @@ def _score(model):
 def scored(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
     """All documents with the probabilities of quality and toxicity, their combined score and whether to keep them.
 
-    Defined cases: a null text counts as empty, and an empty one is scored by its metadata; null source or language is
-    a category of its own. A null doc_id stays null in the result. Rows that repeat an id are scored each. Documents
-    with several label rows have the worst of them; null labels and labels of no document are ignored. Without labels,
-    or with one class only, the view scores are constant at the classes' share, at even odds without any label, and
-    as REJECT needs a probability of 0.5 or more, ``kept`` follows from that. Other columns are not read. An empty table
+    Defined cases: a null text counts as empty, and an empty one is scored by its metadata; very long ones are read whole;
+    null source or language is a category of its own. A null doc_id stays null in the result. Rows that repeat an id are
+    scored each, and documents that tie in all features have equal scores. Documents with several label rows have the
+    worst of them; null labels and labels of no document are ignored. Without labels, or with one class only, the view
+    scores are constant at the classes' share, at even odds without any label, and as REJECT needs a probability of 0.5
+    or more, ``kept`` follows from that. Other columns of either table, whatever their names, are not read. An empty table
     gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **fitting))
-    return _texts(docs).mapInArrow(_score(model), "doc_id long, quality double, toxic double, score double, kept boolean")
+    model, table = fit(docs, labels, **fitting)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return table.select("doc_id", *_VIEWS).mapInArrow(_score(shared), "doc_id long, quality double, toxic double, score double, kept boolean")
 
 
 def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,14 +382,14 @@ def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without those that the classifier rejects. Rows with a null id stay.
+    """The documents without those that the classifier rejects.
 
-    Where rows that repeat an id are scored differently, all of them go if one is rejected.
+    Defined cases: rows with a null id stay. Where rows that repeat an id are scored differently, all of them go if one is
+    rejected. Null and empty texts are judged by their metadata, very long ones whole, ties alike. Without labels all stay
+    or go at even odds, as ``scored`` says. An empty table stays empty. Further columns, whatever their names, are passed on.
     """
-    rejected = scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("NOT kept")
-    (key,) = rt.fresh(docs, "rejected")
-    drop = rejected.select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(drop, docs["doc_id"] == drop[key], "left_anti").select(*docs.columns)
+    rejected = scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("NOT kept AND doc_id IS NOT NULL")
+    return rt.without(docs, rejected.select("doc_id").distinct())
 
 
 QUERIES = {"op4_cotraining": op4_cotraining}
