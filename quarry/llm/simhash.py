@@ -11,9 +11,9 @@ The ball is complete: of two fingerprints within ``ACCEPT`` = BLOCKS * (RADIUS +
 the groups are those of all pairs. Unrelated documents differ in 40 bits and more. ``BITS`` should be about the
 logarithm of the number of documents or more, or buckets fill with documents that meet by chance.
 
-In a bucket the first document left takes all within ``ACCEPT`` of it to its cluster, until none is left; members of
-two clusters are compared only where the clusters aren't linked yet and the distance of their first documents allows a
-pair within ``ACCEPT``. So a bucket of n near copies costs about n comparisons for each cluster, not n² / 2.
+In a bucket a search from document to document reaches what is within ``ACCEPT``; each one is compared only with those
+that none before it has reached, so a bucket of n near copies costs a few times n comparisons, and only one of n
+documents that meet by chance n² / 2.
 """
 
 from __future__ import annotations
@@ -140,35 +140,21 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _near(a: np.ndarray, b: np.ndarray, accept: int) -> tuple[int, int] | None:
-    """The places of some pair of a and b within ``accept`` bits."""
-    step = max(1, (1 << 20) // len(b))
-    for at in range(0, len(a), step):
-        hit = np.argwhere(distance(a[at : at + step, None], b[None]) <= accept)
-        if len(hit):
-            return int(hit[0, 0]) + at, int(hit[0, 1])
-    return None
-
-
 def forest(ids: np.ndarray, prints: np.ndarray, accept: int) -> np.ndarray:
-    """A spanning forest, as rows (a, b), of the graph of all pairs within ``accept`` bits."""
-    edges, clusters, left = [], [], np.arange(len(ids))
-    while len(left):
-        near = distance(prints[left], prints[left[0]]) <= accept
-        members, left = left[near], left[~near]
-        clusters.append(members)
-        edges.append(np.stack((np.full(len(members) - 1, ids[members[0]]), ids[members[1:]]), axis=1))
-    root = np.arange(len(clusters))
-    sizes = np.array([len(c) for c in clusters])
-    firsts = prints[[c[0] for c in clusters]]
-    for i in range(len(clusters) - 1):
-        # Two clusters of one document each are further apart than ``accept``.
-        other = np.flatnonzero((sizes[i + 1 :] > 1) | (sizes[i] > 1)) + i + 1
-        other = other[distance(firsts[other], firsts[i]) <= 3 * accept]
-        for j in other.tolist():
-            if root[i] != root[j] and (hit := _near(prints[clusters[i]], prints[clusters[j]], accept)):
-                edges.append(np.array([[ids[clusters[i][hit[0]]], ids[clusters[j][hit[1]]]]]))
-                root[root == root[j]] = root[i]
+    """A spanning forest, as rows (a, b), of the graph of all pairs within ``accept`` bits.
+
+    Each document is compared with those that none before it has reached, so near copies are compared about once each.
+    """
+    edges, left = [np.zeros((0, 2), np.int64)], np.arange(len(ids))
+    while len(left) > 1:
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            near = distance(prints[left], prints[i]) <= accept
+            if near.any():
+                found, left = left[near], left[~near]
+                edges.append(np.stack((np.full(len(found), ids[i]), ids[found]), axis=1))
+                reached += found.tolist()
     return np.concatenate(edges)
 
 
