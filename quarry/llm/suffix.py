@@ -6,6 +6,9 @@ suffixes at a later offset, which splits it into buckets of suffixes that agree
 identifiers are what the next round sorts by. Three depths, Q, 2 Q and MIN_WORDS, settle which suffixes agree in
 MIN_WORDS words. Buckets with suffixes of one text only are done and leave the refinement at once.
 
+Buckets come to tasks sorted, so a task holds an Arrow batch and the rows of one text at a time, however large a bucket
+is; the identifier of a refined bucket is a hash of the two that it comes from, so its rows may be anywhere.
+
 Only suffixes that can take part enter it. In every window of ``MIN_WORDS`` words the least hash of its ``SCREEN``-word
 grams is selected, which depends on the window's content alone; a window whose selected gram no other text has is in no
 shared passage. About one gram in thirteen is shuffled for this, and nothing that repeats is lost. Texts that are equal
@@ -18,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,26 +69,39 @@ def split_runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _several(starts: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of the runs, and which of them have two owners or more."""
-    sizes = np.diff(np.append(starts, len(owners)))
-    if not len(starts):
-        return sizes, np.zeros(0, bool)
-    return sizes, np.minimum.reduceat(owners, starts) < np.maximum.reduceat(owners, starts)
-
-
-_ANCHOR = pa.schema([("rid", pa.int64()), ("anchor", pa.int64()), ("pos", pa.int32())])
+def shared_runs(
+    batches: Iterator[pa.RecordBatch], keys: int
+) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Of rows that are sorted by the first ``keys`` columns and then by the next, the owner: those whose keys have two
+    owners or more, and the least owner of each. Only rows of the first owner of the last keys seen are held back."""
+    held: list[np.ndarray] | None = None
+    open_keys, open_least = None, 0  # keys that are known to have two owners, when rows of theirs may follow
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
+        owner, n = columns[keys], len(columns[0])
+        if not n:
+            continue
+        starts = split_runs(*columns[:keys])
+        sizes = np.diff(np.append(starts, n))
+        least, most = owner[starts], owner[starts + sizes - 1]
+        several = least < most
+        if open_keys is not None and all(k[0] == x for k, x in zip(columns, open_keys, strict=False)):
+            least, several = least.copy(), several.copy()
+            least[0], several[0] = open_least, True
+        if several[-1]:
+            open_keys, open_least, held = [k[-1] for k in columns[:keys]], least[-1], None
+        else:
+            open_keys, held = None, [c[starts[-1] :] for c in columns]
+        keep = np.repeat(several, sizes)
+        yield [c[keep] for c in columns], np.repeat(least, sizes)[keep]
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The selected grams that two texts or more have."""
-    table = rt.gathered(batches, _ANCHOR)
-    rid, anchor, pos = (table[c].to_numpy() for c in ("rid", "anchor", "pos"))
-    order = np.argsort(anchor, kind="stable")
-    rid, anchor, pos = rid[order], anchor[order], pos[order]
-    sizes, several = _several(starts := split_runs(anchor), rid)
-    keep = np.repeat(several, sizes)
-    yield pa.RecordBatch.from_arrays([pa.array(rid[keep]), pa.array(pos[keep])], ["rid", "pos"])
+    """The selected grams that two texts or more have, of rows (anchor, rid, pos)."""
+    for (_, rid, pos), _ in shared_runs(batches, 1):
+        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(pos)], ["rid", "pos"])
 
 
 def _initial(least: int, q: int):
@@ -126,28 +141,39 @@ def _initial(least: int, q: int):
 
 
 def _refined(owner_column: str):
-    """Each bucket b sorted by c and split; the parts with several owners get new identifiers."""
-
-    schema = pa.schema([(owner_column, pa.int64()), ("pos", pa.int32()), ("b", pa.int64()), ("c", pa.int64())])
+    """Each bucket b split by c, of rows (b, c, owner, pos); the parts with several owners get new identifiers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = rt.gathered(batches, schema)
-        owner, pos, b, c = (table[x].to_numpy() for x in schema.names)
-        order = np.lexsort((c, b))
-        owner, pos, b, c = owner[order], pos[order], b[order], c[order]
-        sizes, several = _several(starts := split_runs(b, c), owner)
-        keep = np.repeat(several, sizes)
-        name = np.repeat(starts + (TaskContext.get().partitionId() << 40), sizes)
-        least = np.repeat(np.minimum.reduceat(owner, starts), sizes) if len(starts) else owner
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(owner[keep]), pa.array(pos[keep]), pa.array(name[keep]), pa.array(least[keep])],
-            [owner_column, "pos", "b", "least"],
-        )
+        for (b, c, owner, pos), least in shared_runs(batches, 2):
+            name = tx.mix(tx.mix(b.view(np.uint64)) + c.view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(owner), pa.array(pos), pa.array(name), pa.array(least)], [owner_column, "pos", "b", "least"]
+            )
 
     return run
 
 
-_PLACED = pa.schema([("rid", pa.int64()), ("pos", pa.int32()), ("b", pa.int64())])
+def _buckets(rows: DataFrame, owner: str) -> DataFrame:
+    """Rows (b, c, owner, pos) where each bucket's are together and in order."""
+    keys = ("b", "c", owner, "pos")
+    return rows.select(*keys).repartition("b", "c").sortWithinPartitions(*keys)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows that are sorted by the first, in pieces that don't cut runs of it: a text's rows at most are
+    held back."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
+        if len(columns[0]):
+            last = split_runs(columns[0])[-1]
+            held = [c[last:] for c in columns]
+            if last:
+                yield [c[:last] for c in columns]
+    if held is not None:
+        yield held
 
 
 def _later(offset: int):
@@ -157,51 +183,40 @@ def _later(offset: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = rt.gathered(batches, _PLACED)
-        rid, pos, b = (table[c].to_numpy() for c in ("rid", "pos", "b"))
-        order = np.lexsort((pos, rid))
-        rid, pos, b = rid[order], pos[order], b[order]
-        if not len(rid):
-            return
-        starts = split_runs(rid)
-        text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rid))))
-        place = (text << 32) + pos
-        wanted = place + offset
-        found = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
-        keep = (pos >= 0) & (place[found] == wanted)
-        rep = b[starts][text]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rep[keep]), pa.array(pos[keep]), pa.array(b[keep]), pa.array(b[found[keep]])],
-            ["rep", "pos", "b", "c"],
-        )
+        for rid, pos, b in whole_runs(batches):
+            starts = split_runs(rid)
+            text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rid))))
+            place = (text << 32) + pos
+            wanted = place + offset
+            found = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+            keep = (pos >= 0) & (place[found] == wanted)
+            rep = b[starts][text]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rep[keep]), pa.array(pos[keep]), pa.array(b[keep]), pa.array(b[found[keep]])],
+                ["rep", "pos", "b", "c"],
+            )
 
     return run
 
 
-_SPAN = pa.schema([("rep", pa.int64()), ("pos", pa.int32()), ("least", pa.int64())])
-
-
 def _spans(least: int):
+    """Rows (rep, start_word, end_word, source) of rows (rep, pos, least)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = rt.gathered(batches, _SPAN)
-        rep, pos, source = (table[c].to_numpy() for c in ("rep", "pos", "least"))
-        order = np.lexsort((pos, rep))
-        rep, pos, source = rep[order], pos[order], source[order]
-        if not len(rep):
-            return
-        new = np.ones(len(rep), bool)
-        new[1:] = (rep[1:] != rep[:-1]) | (pos[1:] > pos[:-1] + least)
-        starts = np.flatnonzero(new)
-        last = np.append(starts[1:], len(rep)) - 1
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(rep[starts]),
-                pa.array(pos[starts].astype(np.int64)),
-                pa.array(pos[last].astype(np.int64) + least),
-                pa.array(np.minimum.reduceat(source, starts)),
-            ],
-            ["rep", "start_word", "end_word", "source"],
-        )
+        for rep, pos, source in whole_runs(batches):
+            new = np.ones(len(rep), bool)
+            new[1:] = (rep[1:] != rep[:-1]) | (pos[1:] > pos[:-1] + least)
+            starts = np.flatnonzero(new)
+            last = np.append(starts[1:], len(rep)) - 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(rep[starts]),
+                    pa.array(pos[starts].astype(np.int64)),
+                    pa.array(pos[last].astype(np.int64) + least),
+                    pa.array(np.minimum.reduceat(source, starts)),
+                ],
+                ["rep", "start_word", "end_word", "source"],
+            )
 
     return run
 
@@ -213,9 +228,10 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, q: int = Q) -> Da
     stretch's windows; where it is doc_id itself, this is the occurrence to keep).
 
     Defined cases: rows with a null id or null text take no part; empty texts and texts of fewer than ``least`` words
-    have no passage. Rows that repeat both id and text count once; with differing texts under one id, each is searched,
+    have no passage, and very long ones are searched whole. Rows that repeat both id and text count once; with differing texts under one id, each is searched,
     and passages that only they share are not reported. Repeats within one document alone are no shared passage. Texts
-    are told apart by a 64-bit hash. Columns besides doc_id and text are not read. An empty table gives no rows.
+    are told apart by a 64-bit hash. Of documents that tie as sources the least is given. Columns besides doc_id and text,
+    whatever their names, are not read. An empty table gives no rows.
     """
     if not SCREEN < least or not 2 * q <= least <= 4 * q:
         raise ValueError("the depths q, 2 q and least must follow one another")
@@ -234,34 +250,34 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, q: int = Q) -> Da
     )
     shared = (
         selected.where("pos >= 0")
-        .select("rid", "anchor", "pos")
+        .select("anchor", "rid", "pos")
         .repartition("anchor")
+        .sortWithinPartitions("anchor", "rid")
         .mapInArrow(_shared, "rid long, pos int")
         .groupBy("rid")
         .agg(F.collect_set("pos").alias("places"))
     )
-    first = rt.written(
+    initial = (
         texts.select("rid", "text")
         .join(shared, "rid")
         .select("rid", "text", "places")
         .mapInArrow(_initial(least, q), "rid long, pos int, b long, c long")
-        .repartition("b")
-        .mapInArrow(_refined("rid"), "rid long, pos int, b long, least long")
-        .select("rid", "pos", "b"),
+    )
+    first = rt.written(
+        _buckets(initial, "rid").mapInArrow(_refined("rid"), "rid long, pos int, b long, least long").select("rid", "pos", "b"),
         "suffix-refined",
     )
-    second = (
+    later = (
         first.unionByName(known.select("rid", F.lit(-1).alias("pos"), F.col("rep").alias("b")))
         .repartition("rid")
+        .sortWithinPartitions("rid", "pos")
         .mapInArrow(_later(least - 2 * q), "rep long, pos int, b long, c long")
-        .repartition("b")
-        .mapInArrow(_refined("rep"), "rep long, pos int, b long, least long")
-        .select("rep", "pos", "least")
     )
+    second = _buckets(later, "rep").mapInArrow(_refined("rep"), "rep long, pos int, b long, least long").select("rep", "pos", "least")
     spans = rt.written(
-        second.repartition("rep").mapInArrow(
-            _spans(least), "rep long, start_word long, end_word long, source long"
-        ),
+        second.repartition("rep")
+        .sortWithinPartitions("rep", "pos")
+        .mapInArrow(_spans(least), "rep long, start_word long, end_word long, source long"),
         "suffix-spans",
     )
     rt.discard(first)
