@@ -29,11 +29,11 @@ from pyspark.sql.window import Window
 from quarry.llm import _runtime as rt
 from quarry.llm import _text as tx
 
-BLOCKS = 7
-BITS = 27
+BLOCKS = 6
+BITS = 32
 RADIUS = 2
 ACCEPT = BLOCKS * (RADIUS + 1) - 1
-WEIGHT = 8
+WEIGHT = 3
 _LONGS = -(-BLOCKS * BITS // 64)
 _USED = np.frombuffer(np.packbits(np.arange(64 * _LONGS) < BLOCKS * BITS, bitorder="little").tobytes(), np.uint64)
 _SALT = [np.uint64(k * 0xA24BAED4963EE407 & (1 << 64) - 1) for k in range(1, _LONGS + 1)]
