@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -169,10 +170,15 @@ def stem(word: str, stem_stop_words: bool = False) -> str:
 
 
 def stem_array(words: Column, stem_stop_words: bool = False) -> Column:
-    """Stems of an array of words, in Arrow batches, each distinct word stemmed once per worker."""
-
-    @F.pandas_udf("array<string>")
-    def stems(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda ws: None if ws is None else [stem(w, stem_stop_words) for w in ws])
+    """Stems of an array of words, in Arrow batches: each distinct word of a batch is stemmed once."""
+
+    @F.arrow_udf("array<string>")
+    def stems(batch: pa.Array) -> pa.Array:
+        coded = batch.flatten().dictionary_encode()
+        distinct = pa.array([stem(w, stem_stop_words) for w in coded.dictionary.to_pylist()], pa.string())
+        sizes = pc.fill_null(pc.list_value_length(batch), 0)
+        offsets = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(sizes).cast(pa.int32())])
+        mask = batch.is_null() if batch.null_count else None
+        return pa.ListArray.from_arrays(offsets, distinct.take(coded.indices), mask=mask)
 
     return stems(words)

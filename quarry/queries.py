@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,22 +10,18 @@ from pyspark.sql import functions as F
 
 from quarry.functions import analysis as A
 from quarry.functions.scoring import idf
+from quarry.functions.stem_sql import stems
 from quarry.operators import docsets
 from quarry.operators.collectors import Both, Count, TopScore
 from quarry.plans.query import All, Boolean, Empty, Occur, Query, Term, intersection, multi_terms, must_should, union
 from quarry.sources import postings as P
-from quarry.sources.index import Index, TableReader
+from quarry.shared import shared_dir
+from quarry.sources.index import Index, Reader, Writer
 from quarry.sources.merge_policy import SizeTieredPolicy, no_merge
 from quarry.sources.schema import IndexSchema
 
 _TEXT = IndexSchema.of("text")
 _WIDE = IndexSchema.of("text", "lang", "source")
-STEM_SAMPLE = {
-    "consign": "consign", "consigned": "consign", "consisting": "consist", "consistency": "consist", "knightly": "knight",
-    "knocked": "knock", "happy": "happi", "relational": "relat", "hopping": "hop", "hoping": "hope", "skies": "sky",
-    "generously": "generous", "sensational": "sensat", "kings": "king",
-}
-
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -32,8 +29,25 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _reader(spark: SparkSession, sf_dir: str, schema: IndexSchema = _TEXT) -> TableReader:
-    return TableReader(_docs(spark, sf_dir), schema)
+_BUILT: dict[tuple, Index] = {}
+
+
+def _reader(spark: SparkSession, sf_dir: str, schema: IndexSchema = _TEXT) -> Reader:
+    """A reader of an index of all documents in the shared folder, built by the first query of a session that asks for it."""
+    docs = _docs(spark, sf_dir)
+    files = tuple(sorted(docs.inputFiles()))
+    key = (spark.sparkContext.applicationId, files, schema)
+    if key not in _BUILT:
+        index = _new_index(spark, schema)
+        writer = index.writer(no_merge)
+        writer.add(docs)
+        writer.commit()
+        _BUILT[key] = index
+    return _BUILT[key].reader()
+
+
+def _new_index(spark: SparkSession, schema: IndexSchema = _TEXT) -> Index:
+    return Index.create(spark, f"{shared_dir(spark)}/quarry-index/{uuid.uuid4().hex}", schema)
 
 
 def t(text: str, field: str = "text") -> Term:
@@ -102,8 +116,8 @@ def stop_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.createDataFrame([(w,) for w in STEM_SAMPLE], "word string")
-    return words.select("word", A.stemming_filter(F.array("word"))[0].alias("stem"))
+    words = P.tokens(_docs(spark, sf_dir), _TEXT).groupBy(F.col("term").alias("word")).agg(F.count("*").alias("n"))
+    return words.select("word", "n", A.stemming_filter(F.array("word"))[0].alias("stem"))
 
 
 def english_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +190,8 @@ def tuple_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Both(TopScore(10), Count()).plan(_reader(spark, sf_dir).scored("text:les OR text:license"))
 
 
-def _segmented(spark: SparkSession, sf_dir: str, k: int = 4) -> tuple[Index, object]:
-    index = Index.in_memory(spark, _TEXT)
+def _segmented(spark: SparkSession, sf_dir: str, k: int = 4) -> tuple[Index, Writer]:
+    index = _new_index(spark)
     writer = index.writer(no_merge)
     docs = _docs(spark, sf_dir)
     for i in range(k):
@@ -206,16 +220,23 @@ def doc_address(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments as large as each customer's orders are many, a thousandfold."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    sizes = orders.groupBy(F.col("o_custkey").alias("segment")).agg((F.count("*") * 1000).alias("num_docs"))
-    return SizeTieredPolicy().plan(sizes)
+    """What the policy wants merged, of an index in ten segments: how many of them and their documents."""
+    index, _ = _segmented(spark, sf_dir, 10)
+    sizes = {s.id: s.num_docs for s in index.meta().segments}
+    rows = [(len(ids), sum(sizes[i] for i in ids)) for ids in SizeTieredPolicy()(list(index.meta().segments))]
+    return spark.createDataFrame(rows, "segments long, num_docs long")
 
 
 def gc_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all documents as files, those that no label holds."""
-    held = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id")
-    return _docs(spark, sf_dir).select("doc_id").join(held, "doc_id", "left_anti")
+    """The documents of segments that are garbage: two of four are merged while a reader has them, and then it is closed.
+    A fifth that is staged is none."""
+    index, writer = _segmented(spark, sf_dir)
+    reader = index.reader()
+    segments = {s.id for s in reader.meta.segments if s.opstamp in (1, 2)}
+    writer.merge(sorted(segments))
+    writer.add(_docs(spark, sf_dir).where("doc_id % 4 = 3"))
+    reader.close()
+    return index.data.get("docs", index.garbage()).select("doc_id")
 
 
 _OR_LU = _or_sql("s0", "s1")
@@ -239,9 +260,14 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     ),
     "stem_tokens": (
         stem_tokens,
-        "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in STEM_SAMPLE.items()) + ") v(word, stem)",
+        f"WITH tok AS ({_TOKENS}), {stems('tok')}, n AS (SELECT term, count(*)::BIGINT AS n FROM tok GROUP BY term) "
+        "SELECT term AS word, n, stem FROM n JOIN stemmed USING (term)",
+    ),
+    "english_tokens": (
+        english_tokens,
+        f"WITH tok AS ({_TOKENS}), {stems('tok')} SELECT field, stem AS term, doc_id, count(*)::BIGINT AS tf FROM tok JOIN stemmed USING (term) "
+        f"WHERE stem NOT IN ({', '.join(repr(w) for w in A.STOP_WORDS)}) GROUP BY 1, 2, 3",
     ),
-    "english_tokens": (english_tokens, None),
     "term_freq": (term_freq, f"WITH tok AS ({_TOKENS_WIDE}) SELECT field, term, doc_id, count(*)::BIGINT AS tf FROM tok GROUP BY 1, 2, 3"),
     "term_dict": (term_dict, f"WITH tok AS ({_TOKENS_WIDE}) SELECT field, term, count(DISTINCT doc_id)::BIGINT AS df FROM tok GROUP BY 1, 2"),
     "term_enumeration": (
@@ -311,10 +337,10 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     "doc_address": (doc_address, _ADDRESS_SQL),
     "merge_candidates": (
         merge_candidates,
-        "SELECT greatest(num_docs, 10000) AS level, count(*)::BIGINT AS segments FROM "
-        "(SELECT o_custkey, (count(*) * 1000)::BIGINT AS num_docs FROM orders GROUP BY 1) WHERE num_docs < 10000000 GROUP BY 1 HAVING count(*) >= 8",
+        "SELECT count(*)::BIGINT AS segments, sum(n)::BIGINT AS num_docs FROM (SELECT doc_id % 10 AS s, count(*) AS n FROM documents GROUP BY 1) "
+        "WHERE n < 10000000 GROUP BY greatest(n, 10000) HAVING count(*) >= 8",
     ),
-    "gc_candidates": (gc_candidates, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
+    "gc_candidates": (gc_candidates, "SELECT doc_id FROM documents WHERE doc_id % 4 < 2"),
 }
 
 
@@ -348,4 +374,4 @@ def oracle_sql() -> dict[str, str]:
 _COLUMNS = {"idf_table": "idf", "count_hits": None}
 
 
-__all__ = ["QUERIES", "STEM_SAMPLE", "oracle_sql", "queries"]
+__all__ = ["QUERIES", "oracle_sql", "queries"]

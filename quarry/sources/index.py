@@ -1,9 +1,15 @@
-"""Indexes: segments of Parquet under versioned snapshots, a writer, and readers pinned to a snapshot."""
+"""Indexes: segments of Parquet under versioned snapshots, a writer, and readers pinned to a snapshot.
+
+A segment is marked as staged in storage before its data is written, and until the commit that publishes it is done; so
+garbage collection, by whatever handle, leaves it alone. It also leaves alone what an open reader of this process has.
+"""
 
 from __future__ import annotations
 
 import logging
 import uuid
+import weakref
+from collections import defaultdict
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
@@ -24,6 +30,13 @@ from quarry.sources.storage import MemoryFiles, Storage
 
 log = logging.getLogger("quarry")
 
+#: Open readers by the root of their index.
+_READERS: dict[str, weakref.WeakSet] = defaultdict(weakref.WeakSet)
+#: What is added by single documents becomes a segment at so many documents or characters.
+BUNDLE_DOCS = 100_000
+BUNDLE_SIZE = 3_000_000
+_SMALL = 4 << 30  # bytes of input that are spread over all cores, as a few files may be read by a few tasks only
+
 _SCHEMAS = {
     "postings": "term string, doc_id long, tf long, segment string, field string",
     "terms": "term string, df long, segment string, field string",
@@ -67,8 +80,14 @@ class _Files:
     def __init__(self, spark: SparkSession, storage: Storage):
         self.spark, self.storage = spark, storage
 
-    def put(self, segment: str, postings: DataFrame, docs: DataFrame) -> int:
+    def put(self, segment: str, postings: DataFrame, docs: DataFrame, analyzed: bool = False) -> int:
+        """``analyzed``: the postings come from segments; otherwise they are written once as they come, as a range
+        partitioning reads its input twice, and texts are to be analyzed once."""
         at = self.storage.path
+        draft = f"drafts/{segment}"
+        if not analyzed:
+            postings.select("field", "term", "doc_id", "tf").write.parquet(at(draft))
+            postings = self.spark.read.schema("field string, term string, doc_id long, tf long").parquet(at(draft))
         ordered = postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
         (
             ordered.write.partitionBy("field")
@@ -77,11 +96,21 @@ class _Files:
         )
         docs.select("doc_id").write.parquet(at(f"docs/segment={segment}"))
         written = self.get("postings", [segment])
-        P.term_stats(written).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.partitionBy(
-            "field"
-        ).parquet(at(f"terms/segment={segment}"))
+        P.term_stats(written).sortWithinPartitions("field", "term").write.partitionBy("field").parquet(at(f"terms/segment={segment}"))
+        self.storage.delete(draft)
         return self.get("docs", [segment]).count()
 
+    def settle(self, docs: DataFrame, name: str) -> DataFrame:
+        """The same rows, whose given ids don't change when they are read again."""
+        docs.write.parquet(self.storage.path(f"drafts/docs-{name}"))
+        return self.spark.read.schema(docs.schema).parquet(self.storage.path(f"drafts/docs-{name}"))
+
+    def unsettle(self, docs: DataFrame, name: str) -> None:
+        self.storage.delete(f"drafts/docs-{name}")
+
+    def close(self) -> None:
+        """Files stay."""
+
     def get(self, table: str, segments: list[str]) -> DataFrame:
         if not segments:
             return self.spark.createDataFrame([], _SCHEMAS[table])
@@ -97,12 +126,19 @@ class _Files:
 
 
 class _Cached:
-    """Segments as cached DataFrames."""
+    """Segments as cached DataFrames, freed when dropped, or with the index."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.segments = spark, {}
+        weakref.finalize(self, _Cached._free, self.segments).atexit = False  # the session's end frees them, too
+
+    @staticmethod
+    def _free(segments: dict[str, dict[str, DataFrame]]) -> None:
+        while segments:
+            for df in segments.popitem()[1].values():
+                df.unpersist()
 
-    def put(self, segment: str, postings: DataFrame, docs: DataFrame) -> int:
+    def put(self, segment: str, postings: DataFrame, docs: DataFrame, analyzed: bool = False) -> int:
         tag = F.lit(segment).alias("segment")
         own = {
             "postings": postings.select("term", "doc_id", "tf", tag, "field").persist(),
@@ -110,7 +146,13 @@ class _Cached:
         }
         own["terms"] = P.term_stats(own["postings"]).select("term", "df", tag, "field").persist()
         self.segments[segment] = own
-        return own["docs"].count()
+        return [own[table].count() for table in ("postings", "terms", "docs")][-1]
+
+    def settle(self, docs: DataFrame, name: str) -> DataFrame:
+        return docs.persist()
+
+    def unsettle(self, docs: DataFrame, name: str) -> None:
+        docs.unpersist()
 
     def get(self, table: str, segments: list[str]) -> DataFrame:
         parts = [self.segments[s][table] for s in segments]
@@ -123,6 +165,9 @@ class _Cached:
         for df in self.segments.pop(segment, {}).values():
             df.unpersist()
 
+    def close(self) -> None:
+        self._free(self.segments)
+
 
 class Index:
     """A handle: the schema and the snapshots of an index."""
@@ -172,21 +217,36 @@ class Index:
     def reader(self, version: int | None = None) -> Reader:
         return Reader(self, version)
 
-    def garbage(self, staged: frozenset[str] = frozenset(), keep_versions: int = 1) -> list[str]:
-        """Segments that none of the last snapshots, and no writer named here, holds."""
+    @property
+    def readers(self) -> weakref.WeakSet:
+        """Open readers of this index in this process, by any handle."""
+        return _READERS[self.storage.key]
+
+    def garbage(self, keep_versions: int = 1, abandoned: bool = False) -> list[str]:
+        """Segments that none of the last snapshots, no open reader and no writer holds.
+
+        ``abandoned`` counts what is staged as well; only for when no writer runs, to clear up after one that died.
+        """
         live = {s.id for v in self.storage.versions()[-keep_versions:] for s in self.meta(v).segments}
-        return sorted(self.data.present() - live - staged)
+        live |= {s.id for reader in self.readers for s in reader.meta.segments}
+        return sorted(self.data.present() - live - (set() if abandoned else self.storage.staged()))
 
-    def vacuum(self, staged: frozenset[str] = frozenset(), keep_versions: int = 1) -> list[str]:
-        """Delete what is garbage, and older snapshots' files. Readers pinned to those snapshots end here."""
-        gone = self.garbage(staged, keep_versions)
+    def vacuum(self, keep_versions: int = 1, abandoned: bool = False) -> list[str]:
+        """Delete what is garbage, and older snapshots' files. Readers of other processes that are pinned to those
+        snapshots end here."""
+        gone = self.garbage(keep_versions, abandoned)
         for segment in gone:
             self.data.drop(segment)
+            self.storage.unstage(segment)
         for version in self.storage.versions()[:-keep_versions]:
             self.storage.delete(f"v{version}.json")
         log.info("vacuum removed %d segments", len(gone))
         return gone
 
+    def close(self) -> None:
+        """Free what is cached; an index in memory is empty from then on."""
+        self.data.close()
+
 
 @dataclass(frozen=True)
 class Added:
@@ -204,6 +264,8 @@ class Writer:
         self.meta = index.meta()
         self.opstamp = self.meta.opstamp
         self.staged: list[Segment] = []
+        self.bundle: list[dict[str, Any]] = []
+        self.bundle_size = 0
         self.closed = False
 
     def _stamp(self) -> int:
@@ -214,34 +276,83 @@ class Writer:
         if self.closed:
             raise RuntimeError("the writer is closed")
 
+    def _put(self, postings: DataFrame, docs: DataFrame, stamp: int, name: str, analyzed: bool = False) -> Segment:
+        self.index.storage.stage(name)
+        return Segment(name, self.index.data.put(name, postings, docs, analyzed), stamp)
+
+    @staticmethod
+    def _name(stamp: int) -> str:
+        return f"s{stamp:08d}-{uuid.uuid4().hex[:12]}"
+
     def add(self, docs: DataFrame) -> Added:
         """Documents as one new segment. They have a doc_id, unique in the index, or get one."""
         self._open()
         stamp = self._stamp()
-        if "doc_id" not in docs.columns:
-            docs = docs.withColumn("doc_id", F.lit(stamp << 40) + F.monotonically_increasing_id()).persist()
-        elif not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        given = "doc_id" in docs.columns
+        if given and not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
             raise SchemaError("doc_id must be a whole number")
-        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-        segment = f"s{stamp:08d}-{uuid.uuid4().hex[:12]}"
-        found = P.postings(docs, self.meta.schema, self.index.registry)
-        count = self.index.data.put(segment, found, docs)
-        added = Segment(segment, count, stamp)
+        docs, name = _spread(docs), self._name(stamp)
+        if not given:
+            docs = self.index.data.settle(docs.withColumn("doc_id", F.lit(stamp << 40) + F.monotonically_increasing_id()), name)
+        ids = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+        added = self._put(P.postings(ids, self.meta.schema, self.index.registry), ids, stamp, name)
+        if not given:
+            self.index.data.unsettle(docs, name)
         self.staged.append(added)
-        log.info("staged segment %s with %d documents", segment, count)
+        log.info("staged segment %s with %d documents", name, added.num_docs)
         return Added(stamp, added)
 
+    def add_document(self, **fields: Any) -> None:
+        """One document, by its fields. Documents are held until there are ``BUNDLE_DOCS`` of them, or ``BUNDLE_SIZE``
+        characters, or a commit; then they become a segment. All of them have a doc_id, or none."""
+        self._open()
+        if self.bundle and ("doc_id" in fields) != ("doc_id" in self.bundle[0]):
+            raise SchemaError("documents of one bundle have a doc_id each, or none")
+        self.bundle.append(fields)
+        self.bundle_size += sum(len(v) if isinstance(v, str) else sum(map(len, v)) for k, v in fields.items() if k != "doc_id" and v)
+        if len(self.bundle) >= BUNDLE_DOCS or self.bundle_size >= BUNDLE_SIZE:
+            self.flush()
+
+    def flush(self) -> Added | None:
+        """The held documents as a segment."""
+        self._open()
+        if not self.bundle:
+            return None
+        lists = {f.name: any(isinstance(d.get(f.name), list) for d in self.bundle) for f in self.meta.schema.fields}
+        kinds = {"doc_id": "long"} if "doc_id" in self.bundle[0] else {}
+        kinds |= {name: "array<string>" if many else "string" for name, many in lists.items()}
+        one = lambda name, v: [v] if lists.get(name) and isinstance(v, str) else v
+        rows = [tuple(one(name, d.get(name)) for name in kinds) for d in self.bundle]
+        schema = ", ".join(f"`{name}` {kind}" for name, kind in kinds.items())
+        self.bundle, self.bundle_size = [], 0
+        return self.add(self.index.spark.createDataFrame(rows, schema))
+
     def commit(self, streams: dict[str, int] | None = None) -> int:
-        """Publish what was added, then merge as the policy says. Returns the commit's opstamp."""
+        """Publish what was added, merging as the policy says what was added before that, and all after it. Returns the
+        commit's opstamp. A merge that fails is logged; what was published stays as it is."""
         self._open()
+        self.flush()
+        self._try_merges(lambda: self.policy(list(self.staged)), self._merge_staged)
         stamp = self._stamp()
-        self._publish([*self.meta.segments, *self.staged], streams)
+        lost = {s.id for s in self.staged if s.num_docs} - self.index.data.present()
+        if lost:
+            raise RuntimeError(f"staged segments are gone: {sorted(lost)}")
+        staged = self.staged
+        self._publish([*self.meta.segments, *staged], streams)
         self.staged = []
-        while wanted := self.policy(list(self.meta.segments)):
-            for ids in wanted:
-                self.merge(ids)
+        for s in staged:
+            self.index.storage.unstage(s.id)
+        self._try_merges(lambda: self.policy(list(self.meta.segments)), self.merge)
         return stamp
 
+    def _try_merges(self, candidates, merge) -> None:
+        try:
+            while wanted := candidates():
+                for ids in wanted:
+                    merge(ids)
+        except Exception:
+            log.exception("a merge failed")
+
     def _publish(self, segments: list[Segment], streams: dict[str, int] | None = None) -> None:
         kept = sorted((s for s in segments if s.num_docs), key=lambda s: (-s.num_docs, s.id))
         meta = replace(
@@ -255,34 +366,52 @@ class Writer:
         self.meta = meta
         log.info("published version %d with %d segments", meta.version, len(kept))
 
+    def _merged(self, ids: list[str]) -> Segment:
+        stamp, data = self._stamp(), self.index.data
+        return self._put(data.get("postings", ids).drop("segment"), data.get("docs", ids), stamp, self._name(stamp), True)
+
+    def _merge_staged(self, ids: list[str]) -> None:
+        merged = self._merged(ids)
+        self.staged = [*(s for s in self.staged if s.id not in set(ids)), merged]
+        for segment in ids:
+            self.index.data.drop(segment)
+            self.index.storage.unstage(segment)
+
     def merge(self, ids: list[str]) -> Segment:
-        """Committed segments become one. Documents and scores stay the same."""
+        """Committed segments become one, and those that no reader here has are deleted. Documents and scores stay the
+        same."""
         self._open()
         known = {s.id: s for s in self.meta.segments}
         if len(set(ids)) != len(ids) or not set(ids) <= known.keys():
             raise ValueError("only committed segments, each once, can be merged")
-        stamp = self._stamp()
-        name = f"s{stamp:08d}-{uuid.uuid4().hex[:12]}"
-        data = self.index.data
-        count = data.put(name, data.get("postings", ids).drop("segment"), data.get("docs", ids))
-        merged = Segment(name, count, stamp)
+        merged = self._merged(ids)
         self._publish([*(s for s in self.meta.segments if s.id not in set(ids)), merged])
+        self.index.storage.unstage(merged.id)
+        self.index.vacuum()
         return merged
 
     def close(self) -> None:
         """End without publishing what wasn't committed."""
         for s in self.staged:
             self.index.data.drop(s.id)
-        self.staged, self.closed = [], True
+            self.index.storage.unstage(s.id)
+        self.staged, self.bundle, self.closed = [], [], True
+
+
+def _spread(docs: DataFrame) -> DataFrame:
+    """Small inputs over all cores; larger ones have tasks enough, and would be shuffled for nothing."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size < _SMALL else docs
 
 
 class Reader:
-    """A snapshot. Later commits show after ``reload``."""
+    """A snapshot. Later commits show after ``reload``. Until it is closed, its segments are not deleted in this process."""
 
     def __init__(self, index: Index, version: int | None = None):
         self.index = index
         self.spark = index.spark
         self.meta = index.meta(version)
+        index.readers.add(self)
 
     def reload(self) -> Reader:
         self.meta = self.index.meta()
@@ -298,12 +427,16 @@ class Reader:
 
     def segment(self, segment_id: str) -> Reader:
         """A reader of one segment; its statistics are the segment's."""
-        one = Reader(self.index, self.meta.version)
+        one = Reader(self.index)
         one.meta = replace(self.meta, segments=tuple(s for s in self.meta.segments if s.id == segment_id))
         return one
 
+    closed = False
+
     @property
     def postings(self) -> DataFrame:
+        if self.closed:
+            raise RuntimeError("the reader is closed")
         return self.index.data.get("postings", self.segment_ids)
 
     @property
@@ -326,11 +459,24 @@ class Reader:
         return self.term_stats.where(F.col("field") == field).select("term", "df")
 
     def parser(self, default_fields: list[str] | None = None, analyze_bare: bool = False) -> Parser:
+        """The texts of a query are analyzed together, in one job."""
+        known: dict[tuple[str, str], list[str] | None] = {}
+
+        def prepare(pairs: list[tuple[str, str]]) -> None:
+            fields = {name: self.schema.field(name) for name, _ in pairs}
+            known.update({pair: None for pair in pairs if fields[pair[0]] is None})
+            wanted = [pair for pair in dict.fromkeys(pairs) if pair not in known]
+            if wanted:
+                columns = [self.index.registry.get(fields[name].analyzer).tokens(F.lit(text)) for name, text in wanted]
+                row = self.spark.range(0, 1, 1, 1).select(*(c.alias(f"t{i}") for i, c in enumerate(columns))).first()
+                known.update({pair: list(tokens) for pair, tokens in zip(wanted, row, strict=True)})
+
         def analyze(name: str, text: str) -> list[str] | None:
-            f = self.schema.field(name)
-            return None if f is None else self.index.registry.get(f.analyzer).terms(self.spark, text)
+            if (name, text) not in known:
+                prepare([(name, text)])
+            return known[name, text]
 
-        return Parser(self.schema.names if default_fields is None else default_fields, analyze, analyze_bare)
+        return Parser(self.schema.names if default_fields is None else default_fields, analyze, analyze_bare, prepare)
 
     def scored(self, query: Query | str) -> DataFrame:
         """(doc_id, score) of the documents that match."""
@@ -353,7 +499,10 @@ class Reader:
         self.docs.createOrReplaceTempView(f"{prefix}docs")
 
     def close(self) -> None:
-        """Nothing is held: scans are opened as queries run."""
+        """Its segments may be deleted from now on; it can't be searched any more."""
+        self.index.readers.discard(self)
+        self.meta = replace(self.meta, segments=())
+        self.closed = True
 
 
 class TableReader(Reader):

@@ -1,10 +1,12 @@
-"""Files of an index on any Hadoop file system: snapshot metadata published by rename, and garbage collection."""
+"""Files of an index on any Hadoop file system: snapshot metadata, published whole and once, and marks of staged segments."""
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import SparkSession
 
@@ -45,16 +47,44 @@ class Storage:
             stream.close()
 
     def write_new(self, name: str, text: str) -> None:
-        """Whole or not at all, by a rename; fails where the file is there already."""
+        """Whole or not at all; fails where the file is there already, also if two try at once.
+
+        On a local disk by a hard link, which never replaces a file, elsewhere by a rename, which HDFS refuses where the
+        target exists.
+        """
         draft = f".{uuid.uuid4().hex}.tmp"
         stream = self._fs.create(self._at(draft), False)
         try:
             stream.write(text.encode())
         finally:
             stream.close()
-        if self.exists(name) or not self._fs.rename(self._at(draft), self._at(name)):
+        try:
+            if self._fs.getScheme() == "file":
+                self._fs.mkdirs(self._at(name).getParent())
+                os.link(self._local(draft), self._local(name))
+            elif self.exists(name) or not self._fs.rename(self._at(draft), self._at(name)):
+                raise FileExistsError(self.path(name))
+        finally:
             self.delete(draft)
-            raise FileExistsError(self.path(name))
+
+    def _local(self, name: str) -> str:
+        return unquote(urlparse(self._at(name).toUri().toString()).path)
+
+    @property
+    def key(self) -> str:
+        """Tells one index from another in this process."""
+        return self.root
+
+    # Segments that writers have made and not published.
+
+    def stage(self, segment: str) -> None:
+        self.write_new(f"staged/{segment}", "")
+
+    def unstage(self, segment: str) -> None:
+        self.delete(f"staged/{segment}")
+
+    def staged(self) -> set[str]:
+        return set(self.list("staged"))
 
     # Snapshots: v{N}.json, the highest N being the current one.
 
@@ -80,8 +110,13 @@ class MemoryFiles:
     def exists(self, name: str) -> bool:
         return name in self.files
 
+    @property
+    def key(self) -> str:
+        return f"memory-{id(self)}"
+
     def list(self, name: str = "") -> list[str]:
-        return sorted(self.files)
+        under = f"{name}/" if name else ""
+        return sorted({f.removeprefix(under).split("/")[0] for f in self.files if f.startswith(under)})
 
     def delete(self, name: str) -> None:
         self.files.pop(name, None)
@@ -97,3 +132,4 @@ class MemoryFiles:
         self.files[name] = text
 
     versions, load, publish, root = Storage.versions, Storage.load, Storage.publish, "memory"
+    stage, unstage, staged = Storage.stage, Storage.unstage, Storage.staged

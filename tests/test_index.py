@@ -1,12 +1,17 @@
+import gc
 import io
 import json
 import math
+import re
+import threading
+from dataclasses import dataclass
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry import cli, logs
 from quarry.operators.collectors import Both, Count, TopScore, top_per_group
-from quarry.plans.query import Term, union
+from quarry.plans.query import Query, Term, union
 from quarry.sources.index import Index
 from quarry.sources.merge_policy import Segment, SizeTieredPolicy, no_merge
 from quarry.sources.schema import IndexSchema, SchemaError
@@ -78,11 +83,156 @@ def test_merges_leave_results(spark, index):
     w.merge(ids)
     assert len(index.meta().segments) == 1 and index.meta().num_docs == 8
     assert sorted(index.reader().search(query, TopScore(100))) == before
-    assert index.vacuum() == sorted(ids) and index.garbage() == []
+    assert index.garbage() == [] and not index.data.present() & set(ids)  # gone with the merge
     assert sorted(index.reader().search(query, TopScore(100))) == before
     assert sorted(r.seg_doc_id for r in index.reader().addresses().collect()) == list(range(8))
 
 
+def test_vacuum_leaves_what_is_staged(spark, index):
+    """Add, commit, add, vacuum, commit: by this handle or another, what was staged is there."""
+    w = index.writer(no_merge)
+    w.add(frame(spark, [(0, "a", "b")]))
+    w.commit()
+    w.add(frame(spark, [(1, "a", "b")]))
+    assert index.garbage() == [] and index.vacuum() == []
+    if not isinstance(index.storage, MemoryFiles):
+        assert Index.open(spark, index.storage.root).vacuum() == []
+    w.commit()
+    assert sorted(d for d, _ in index.reader().search("title:a")) == [0, 1]
+    w.add(frame(spark, [(2, "a", "b")]))
+    (dead,) = index.storage.staged()  # as a writer leaves it that dies
+    assert index.vacuum() == [] and index.vacuum(abandoned=True) == [dead] and index.storage.staged() == set()
+    with pytest.raises(RuntimeError):
+        w.commit()
+    assert sorted(d for d, _ in index.reader().search("title:a")) == [0, 1]
+
+
+def test_open_readers_keep_their_segments(spark, index):
+    w = index.writer(no_merge)
+    for i in range(2):
+        w.add(frame(spark, [(i, "a", "b")]))
+    w.commit()
+    reader = index.reader()
+    ids = reader.segment_ids
+    w.merge(ids)
+    assert set(ids) <= index.data.present() and len(reader.search("title:a")) == 2
+    reader.close()
+    assert index.vacuum() == sorted(ids) and len(index.reader().search("title:a")) == 2
+    with pytest.raises(RuntimeError):
+        reader.search("title:a")
+
+
+def test_failed_merges_are_logged(spark, index, monkeypatch, caplog):
+    w = index.writer(SizeTieredPolicy(min_segments=2))
+    w.add(frame(spark, [(0, "a", "b")]))
+    w.commit()
+    w.add(frame(spark, [(1, "a", "b")]))
+    monkeypatch.setattr(w, "merge", lambda ids: 1 / 0)
+    with caplog.at_level("ERROR", "quarry"):
+        w.commit()
+    assert "a merge failed" in caplog.text and len(index.reader().search("title:a")) == 2
+
+
+def test_staged_segments_are_merged(spark, index):
+    w = index.writer(SizeTieredPolicy(min_segments=3))
+    for i in range(3):
+        w.add(frame(spark, [(i, "a", "b")]))
+    w.commit()
+    assert len(index.meta().segments) == 1 == len(index.data.present()) and index.meta().num_docs == 3
+    assert index.meta().version == 1 and index.storage.staged() == set()
+
+
+def test_single_documents_are_bundled(spark, index, monkeypatch):
+    monkeypatch.setattr("quarry.sources.index.BUNDLE_DOCS", 3)
+    w = index.writer(no_merge)
+    for i in range(7):
+        w.add_document(doc_id=i, title=["a", "b"] if i == 5 else "a", description=None)
+    assert len(w.staged) == 2
+    w.commit()
+    assert sorted(s.num_docs for s in index.meta().segments) == [1, 3, 3] and index.reader().doc_freq("title", "a") == 7
+    monkeypatch.setattr("quarry.sources.index.BUNDLE_SIZE", 10)
+    w.add_document(title="eleven char", description="x")
+    assert len(w.staged) == 1
+    w.add_document(title="x")
+    with pytest.raises(SchemaError):
+        w.add_document(doc_id=1, title="y")
+
+
+def test_nothing_stays_cached(spark):
+    count = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    before = count()
+    index = Index.in_memory(spark, SCHEMA)
+    w = index.writer(no_merge)
+    w.add(frame(spark, [("a", "b")], "title string, description string"))
+    w.commit()
+    assert len(index.reader().search("title:a")) == 1 and count() == before + 3
+    index.close()
+    assert count() == before
+    again = Index.in_memory(spark, SCHEMA)
+    again.writer(no_merge).add(frame(spark, [(0, "a", "b")]))
+    assert count() == before + 3
+    del again
+    gc.collect()
+    assert count() == before
+
+
+def test_one_publisher_wins(spark, tmp_path):
+    files, won = Storage(spark, f"file://{tmp_path}/ix"), []
+
+    def publish(i: int) -> None:
+        try:
+            files.write_new("v1.json", str(i))
+            won.append(i)
+        except FileExistsError:
+            pass
+
+    threads = [threading.Thread(target=publish, args=(i,)) for i in range(12)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(won) == 1 and files.read("v1.json") == str(won[0]) and files.list() == ["v1.json"]
+
+
+def test_a_query_is_analyzed_in_one_job(spark, index):
+    w = index.writer(no_merge)
+    w.add(frame(spark, [(0, "a b c", "d e f")]))
+    w.commit()
+    reader = index.reader()
+    group = f"parse-{index.storage.key}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        reader.parser().parse("title:a OR (title:b AND description:d) title:c description:e unknown:x")
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@dataclass(frozen=True)
+class Without(Query):
+    """A query of the user's own: documents of one term that lack another."""
+
+    has: Term
+    lacks: Term
+
+    @property
+    def terms(self):
+        return [(t.field, t.text) for t in (self.has, self.lacks)]
+
+    def column(self, scores):
+        has, lacks = (scores[leaf] for leaf in self.terms)
+        return F.when(lacks.isNull(), has)
+
+
+def test_custom_query(spark, index):
+    w = index.writer(no_merge)
+    w.add(frame(spark, [(0, "a b", None), (1, "a", None), (2, "b", None)]))
+    w.commit()
+    query = Without(Term("title", "a"), Term("title", "b"))
+    assert [d for d, _ in index.reader().search(query)] == [1]
+    assert [d for d, _ in index.reader().search(union(query, Term("title", "b")), TopScore(5))] == [2, 1, 0]
+
+
 def test_policy_merges_at_eight(spark):
     policy = SizeTieredPolicy()
     seven = [Segment(f"s{i}", 10 + i) for i in range(7)]
@@ -183,8 +333,12 @@ def test_pushdown(spark, tmp_path):
     w.add(frame(spark, [(0, "a", "b"), (1, "b", "a")]))
     w.commit()
     plan = index.reader().scored("title:a OR description:b")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [((field#" in plan.replace("isnotnull(field", "(field") or "PartitionFilters: [" in plan
-    assert "EqualTo(term,a)" in plan and "EqualTo(term,b)" in plan
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "/postings/" in line and "tf#" in line]
+    assert len(scans) == 1
+    filters = scans[0].partition("PartitionFilters: [")[2].partition("], PushedFilters: [")
+    assert re.search(r"field#\d+ = title", filters[0]) and re.search(r"field#\d+ = description", filters[0])
+    pushed = filters[2].partition("], ReadSchema")[0]
+    assert "EqualTo(term,a)" in pushed and "EqualTo(term,b)" in pushed
 
 
 def test_stream(spark, tmp_path):
