@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,26 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Only where that is unset and Spark runs in one local process (tests) is a temporary folder made;
-    on a cluster an unset folder is an error, since a machine-local one would be lost with its machine.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        own = tempfile.TemporaryDirectory(prefix="quarry-")
-        atexit.register(own.cleanup)
-        _OWN_DIRS[app] = f"file://{own.name}"
-    return _OWN_DIRS[app]
+from quarry.shared import shared_dir
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -149,6 +128,29 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int = 4096, size: int = 8 <<
             yield batch.slice(at, step)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
-    """A whole partition as one table."""
-    return pa.Table.from_batches([b.cast(schema) if b.schema != schema else b for b in batches], schema)
+def split_runs(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal neighbours by all keys."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows that are sorted by the first, in pieces that don't cut runs of it: a text's rows at most are
+    held back."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
+        if len(columns[0]):
+            last = split_runs(columns[0])[-1]
+            held = [c[last:] for c in columns]
+            if last:
+                yield [c[:last] for c in columns]
+    if held is not None:
+        yield held

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quarry.llm import bloomlm, chains, cotraining, decontaminate, maxscore, mixing, pii, rans, simhash, suffix
 
-_MODULES = (decontaminate, simhash, mixing, pii, rans, suffix, cotraining, bloomlm, chains, maxscore, pii)
+_MODULES = (decontaminate, simhash, mixing, pii, rans, suffix, cotraining, bloomlm, chains, maxscore)
 
 
 def queries() -> dict:

@@ -109,31 +109,26 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(keys)))
 
 
-_VARIANT = pa.schema([("variant", pa.int64()), ("rep", pa.int64())])
-_BUCKET = pa.schema([("bucket", pa.int64()), ("rep", pa.int64()), *((f"s{k}", pa.int64()) for k in range(_LONGS))])
-
-
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The buckets with two members or more, named by what they hold."""
-    table = rt.gathered(batches, _VARIANT)
-    keys, reps = table["variant"].to_numpy(), table["rep"].to_numpy()
-    del table
-    order = np.argsort(keys, kind="stable")
-    keys, reps = keys[order], reps[order]
-    starts, sizes = runs(keys)
-    several = sizes > 1
-    keep = np.repeat(several, sizes)
-    reps, sizes = reps[keep], sizes[several]
-    if not len(sizes):
-        return
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    names = tx.mix(np.add.reduceat(tx.mix(reps.view(np.uint64)), starts) + sizes.astype(np.uint64))
-    # Equal buckets of this partition are sent on once.
-    _, first = np.unique(names, return_index=True)
-    keep = np.repeat(np.isin(np.arange(len(names)), first), sizes)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat(names, sizes)[keep].view(np.int64)), pa.array(reps[keep])], ["bucket", "rep"]
-    )
+    """The buckets with two members or more, named by what they hold, of rows in order of their variant."""
+    seen = np.zeros(0, np.uint64)
+    for keys, reps in rt.whole_runs(batches):
+        starts, sizes = runs(keys)
+        several = sizes > 1
+        reps, sizes = reps[np.repeat(several, sizes)], sizes[several]
+        if not len(sizes):
+            continue
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        names = tx.mix(np.add.reduceat(tx.mix(reps.view(np.uint64)), starts) + sizes.astype(np.uint64))
+        # Equal buckets of this task are sent on once.
+        first = np.zeros(len(names), bool)
+        first[np.unique(names, return_index=True)[1]] = True
+        first &= ~np.isin(names, seen)
+        seen = np.concatenate((seen, names[first]))
+        keep = np.repeat(first, sizes)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(names, sizes)[keep].view(np.int64)), pa.array(reps[keep])], ["bucket", "rep"]
+        )
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -159,21 +154,21 @@ def forest(ids: np.ndarray, prints: np.ndarray, accept: int) -> np.ndarray:
 
 
 def _verify(accept: int):
+    """Edges of each bucket's spanning forest, of rows in order of their bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = rt.gathered(batches, _BUCKET)
-        buckets, reps = table["bucket"].to_numpy(), table["rep"].to_numpy()
-        prints = np.stack([table[f"s{k}"].to_numpy().view(np.uint64) for k in range(_LONGS)], axis=1)
-        order = np.lexsort((reps, buckets))
-        buckets, reps, prints = buckets[order], reps[order], prints[order]
-        starts, sizes = runs(buckets)
-        twos = starts[sizes == 2]
-        near = twos[distance(prints[twos], prints[twos + 1]) <= accept]
-        edges = [np.stack((reps[near], reps[near + 1]), axis=1)]
-        edges += [forest(reps[at : at + n], prints[at : at + n], accept) for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True)]
-        pairs = np.concatenate(edges).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"]
-        )
+        for buckets, reps, *columns in rt.whole_runs(batches):
+            prints = np.stack([c.view(np.uint64) for c in columns], axis=1)
+            starts, sizes = runs(buckets)
+            twos = starts[sizes == 2]
+            near = twos[distance(prints[twos], prints[twos + 1]) <= accept]
+            edges = [np.stack((reps[near], reps[near + 1]), axis=1)]
+            more = zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True)
+            edges += [forest(reps[at : at + n], prints[at : at + n], accept) for at, n in more]
+            pairs = np.concatenate(edges).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"]
+            )
 
     return run
 
@@ -234,6 +229,7 @@ def near_duplicates(docs: DataFrame, accept: int = ACCEPT) -> DataFrame:
     buckets = (
         unique.mapInArrow(_variants, "variant long, rep long")
         .repartition("variant")
+        .sortWithinPartitions("variant")
         .mapInArrow(_meet, "bucket long, rep long")
         .distinct()
     )
@@ -241,6 +237,7 @@ def near_duplicates(docs: DataFrame, accept: int = ACCEPT) -> DataFrame:
         buckets.join(unique, "rep")
         .select("bucket", "rep", *prints)
         .repartition("bucket")
+        .sortWithinPartitions("bucket", "rep")
         .mapInArrow(_verify(accept), "a long, b long")
     )
     roots = components(edges)

@@ -58,17 +58,6 @@ def _selected(least: int):
     return run
 
 
-def split_runs(*keys: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal neighbours by all keys."""
-    if not len(keys[0]):
-        return np.zeros(0, np.int64)
-    new = np.zeros(len(keys[0]), bool)
-    new[0] = True
-    for key in keys:
-        new[1:] |= key[1:] != key[:-1]
-    return np.flatnonzero(new)
-
-
 def shared_runs(
     batches: Iterator[pa.RecordBatch], keys: int
 ) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -83,7 +72,7 @@ def shared_runs(
         owner, n = columns[keys], len(columns[0])
         if not n:
             continue
-        starts = split_runs(*columns[:keys])
+        starts = rt.split_runs(*columns[:keys])
         sizes = np.diff(np.append(starts, n))
         least, most = owner[starts], owner[starts + sizes - 1]
         several = least < most
@@ -159,23 +148,6 @@ def _buckets(rows: DataFrame, owner: str) -> DataFrame:
     return rows.select(*keys).repartition("b", "c").sortWithinPartitions(*keys)
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of rows that are sorted by the first, in pieces that don't cut runs of it: a text's rows at most are
-    held back."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
-        if held is not None:
-            columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
-        if len(columns[0]):
-            last = split_runs(columns[0])[-1]
-            held = [c[last:] for c in columns]
-            if last:
-                yield [c[:last] for c in columns]
-    if held is not None:
-        yield held
-
-
 def _later(offset: int):
     """Rows (rep, pos, b, c): suffixes with their refined bucket and the refined one ``offset`` words on.
 
@@ -183,8 +155,8 @@ def _later(offset: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rid, pos, b in whole_runs(batches):
-            starts = split_runs(rid)
+        for rid, pos, b in rt.whole_runs(batches):
+            starts = rt.split_runs(rid)
             text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rid))))
             place = (text << 32) + pos
             wanted = place + offset
@@ -203,7 +175,7 @@ def _spans(least: int):
     """Rows (rep, start_word, end_word, source) of rows (rep, pos, least)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rep, pos, source in whole_runs(batches):
+        for rep, pos, source in rt.whole_runs(batches):
             new = np.ones(len(rep), bool)
             new[1:] = (rep[1:] != rep[:-1]) | (pos[1:] > pos[:-1] + least)
             starts = np.flatnonzero(new)
