@@ -148,25 +148,81 @@ def test_mixing(spark, odd):
     assert [r.place for r in whole] == list(range(1, 10)) and {r.doc_id: r.tokens for r in whole}[3] == 0
 
 
-@pytest.mark.parametrize("operator", [decontaminate, simhash, mixing])
-def test_stages_keep_columns(spark, tmp_path, odd, operator):
-    _benchmark(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert operator.stage(spark, odd, str(tmp_path)).columns == odd.columns
-
-
-def test_decontamination_stage(spark, tmp_path, odd):
-    _benchmark(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
-    kept = [r.doc_id for r in decontaminate.stage(spark, odd, str(tmp_path)).collect()]
-    assert sorted(map(str, kept)) == sorted(str(r[0]) for r in ROWS if r[0] not in (1, 2))
-
-
-def test_simhash_stage(spark, tmp_path, odd):
-    kept = [r.doc_id for r in simhash.stage(spark, odd, str(tmp_path)).collect()]
-    assert sorted(map(str, kept)) == sorted(["1", "3", "4", "5", "6", "7", "8", "9", "None", "None"])
+@pytest.mark.parametrize("table", ["benchmark", "labels"])
+def test_extra_columns_beside(spark, documents, table):
+    """Columns of the second table with the names that an operator makes for itself."""
+    docs = documents([(1, PASSAGE), (2, "other text here")])
+    other = _benchmark(spark) if table == "benchmark" else _labels(spark)
+    wide = other
+    for name in [c for c in CLASHING if c not in other.columns]:
+        wide = wide.withColumn(name, F.lit("other"))
+    runs = [decontaminate.contaminated, maxscore.search] if table == "benchmark" else [cotraining.scored]
+    for run in runs:
+        assert sorted(map(tuple, run(docs, wide).collect())) == sorted(map(tuple, run(docs, other).collect()))
+
+
+STAGES = {"quality": cotraining, "near_duplicates": simhash, "decontamination": decontaminate, "mixing": mixing, "token_ids": rans}
+#: Which ids each stage keeps of ROWS by itself; None where its decision depends on a fit.
+KEPT = {
+    "quality": None,
+    "near_duplicates": ["1", "3", "4", "5", "6", "7", "8", "9", "None", "None"],
+    "decontamination": ["3", "4", "5", "6", "7", "8", "9", "None", "None"],
+    "mixing": None,
+}
 
 
-def test_cotraining_stage(spark, tmp_path, odd):
-    _labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
-    kept = cotraining.stage(spark, odd, str(tmp_path))
+@pytest.fixture(scope="module")
+def beside(spark, tmp_path_factory):
+    """A folder with the tables that stages read."""
+    at = tmp_path_factory.mktemp("beside")
+    _benchmark(spark).write.parquet(f"{at}/benchmark.parquet")
+    _labels(spark).write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", list(STAGES)[:-1])
+def test_stages(spark, beside, odd, name):
+    """Columns are passed on as they are, rows are whole, and those that go are the operator's."""
+    kept = STAGES[name].stage(spark, odd, beside)
     assert kept.columns == odd.columns
-    assert kept.where("doc_id IS NULL").count() == 2
+    rows, whole = kept.collect(), set(map(tuple, odd.collect()))
+    assert all(tuple(r) in whole for r in rows)
+    ids = sorted(str(r.doc_id) for r in rows)
+    if KEPT[name] is not None:
+        assert ids == KEPT[name]
+    if name == "quality":
+        rejected = {r.doc_id for r in cotraining.scored(odd, _labels(spark)).collect() if not r.kept and r.doc_id is not None}
+        assert ids == sorted(str(r[0]) for r in ROWS if r[0] not in rejected)
+    if name == "mixing":
+        assert ids == sorted(str(r.doc_id) for r in mixing.mixture(odd).collect())
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_of_an_empty_table(spark, beside, odd, name):
+    got = STAGES[name].stage(spark, odd.limit(0), beside)
+    assert [r.block_id for r in got.collect()] == [-1] if name == "token_ids" else got.isEmpty() and got.columns == odd.columns
+
+
+def test_the_chain_on_odd_rows(spark, beside, odd, tmp_path):
+    """Each stage on what the one before kept; at the end the texts come back from the blocks."""
+    docs = odd
+    for name, operator in list(STAGES.items())[:-1]:
+        before = {(r.doc_id, r.text) for r in docs.collect()}
+        operator.stage(spark, docs, beside).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == odd.columns and {(r.doc_id, r.text) for r in docs.collect()} <= before
+    encoder, parts = rans.encoder(rans.TOKENIZER), {}
+    for r in rans.decoded(rans.stage(spark, docs, beside)).collect():
+        parts.setdefault(r.doc_id, []).append((r.doc_offset, r.ids))
+    texts = {k: encoder.decode([i for _, p in sorted(v) for i in p]) for k, v in parts.items()}
+    assert texts == {r.doc_id: r.text or "" for r in docs.collect()}
+
+
+def test_without(spark, documents):
+    """Ids that a bitmap can't tell apart are, by the join."""
+    from quarry.llm import _runtime as rt
+
+    docs = documents([(i, "t") for i in range(500)] + [(None, "t")])
+    drop = spark.range(0, 500, 3).toDF("x")
+    assert sorted(str(r.doc_id) for r in rt.without(docs, drop).collect()) == sorted([*(str(i) for i in range(500) if i % 3), "None"])
+    assert rt.without(docs, drop.limit(0)).count() == 501

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -58,6 +59,21 @@ def test_suffix_equals_sql(docs, same):
     same(suffix.repeated_passages(docs), suffix.sql(), documents=docs)
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_shared_runs_in_small_batches(size):
+    """However the sorted rows are cut into batches, those whose keys have two owners come out with the least one."""
+    rng = np.random.default_rng(size)
+    rows = np.array(sorted(map(tuple, rng.integers(0, 6, (300, 2)).tolist() + [[9, 1]] * 40 + [[10, 2]] * 30 + [[10, 3]])))
+    rows = np.column_stack((rows, np.arange(len(rows))))
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(part[:, i]) for i in range(3)], ["b", "owner", "pos"])
+        for part in (rows[at : at + size] for at in range(0, len(rows), size))
+    ]
+    owners = {b: set(rows[rows[:, 0] == b, 1].tolist()) for b in rows[:, 0].tolist()}
+    got = [(*r, int(x)) for columns, least in suffix.shared_runs(iter(batches), 1) for *r, x in zip(*(c.tolist() for c in columns), least, strict=True)]
+    assert sorted(got) == sorted((*r, min(owners[r[0]])) for r in rows.tolist() if len(owners[r[0]]) > 1)
+
+
 def test_suffix_planted(documents, words, same):
     a, b, c = words(60), words(51), words(49)
     rows = [
@@ -149,6 +165,37 @@ def test_chains_recall_in_large_noisy_groups(documents, words):
     assert len({r.doc_id for r in got} | {r.partner_doc_id for r in got}) >= 180
 
 
+def test_chains_finds_passages_of_middling_identity(documents, words):
+    """120 words of which every seventh differs, at changing places; and copies with words dropped and added."""
+    rng, rows = random.Random(21), []
+    for i in range(30):
+        passage = words(120)
+        other = [w if k % 7 != i % 7 else f"y{rng.random()}"[2:9] for k, w in enumerate(passage)]
+        rows += [(2 * i, " ".join(words(15) + passage + words(10))), (2 * i + 1, " ".join(words(40) + other))]
+    got = {tuple(sorted((r.doc_id, r.partner_doc_id))): r for r in chains.fuzzy_passages(documents(rows)).collect()}
+    assert set(got) == {(2 * i, 2 * i + 1) for i in range(30)}
+    assert all(0.8 <= r.identity <= 0.87 and min(r.end_word - r.start_word, r.partner_end - r.partner_start) >= 110 for r in got.values())
+
+
+def test_chains_hot_seeds(documents, words, monkeypatch):
+    """A line that all documents have doesn't keep any from its passage's partner, however few texts make a seed hot."""
+    line, shared = words(60), words(70)
+    rows = [(i, " ".join(words(20) + line + words(20) + (shared if i % 50 == 3 else words(10)))) for i in range(150)]
+    got = chains.fuzzy_passages(documents(rows)).collect()
+    assert len({r.doc_id for r in got} | {r.partner_doc_id for r in got}) == 150
+    wide = {r.doc_id for r in got if r.end_word - r.start_word >= 65} | {r.partner_doc_id for r in got if r.end_word - r.start_word >= 65}
+    assert {3, 53, 103} <= wide
+
+
+def test_chains_links_of_hot_seeds():
+    """Seeds of more than ``HOT`` texts leave one text in the shuffle and a link for each other."""
+    rid = np.arange(100, dtype=np.int64)
+    keep, (a, b, n, *_spans) = chains._linked(rid, np.zeros(100, np.uint64), rid * 3, 32)
+    assert keep.sum() == 1 and a.tolist() == [0] * 99 and b.tolist() == list(range(1, 100)) and set(n.tolist()) == {1}
+    keep, (a, *_rest) = chains._linked(rid[:30], np.zeros(30, np.uint64), rid[:30], 32)
+    assert keep.all() and not len(a)
+
+
 def _best_chain(a, b, n, weight, gap):
     """The quadratic recurrence that the tree answers."""
     end = np.maximum(n - chains._OVERLAP, 1)
@@ -203,6 +250,22 @@ def test_cotraining_rejects_toxic_and_keeps_clean(spark):
     assert np.mean([got[i] for i, r in truth.items() if r.toxic == 0 and r.quality == 1]) > 0.98
 
 
+def test_cotraining_pseudo_labels_come_from_the_whole_corpus(spark, documents, words):
+    """What one view is sure of reaches the other from any unlabelled document, in number as asked, by class."""
+    good, bad, rng = words(60), words(60), random.Random(3)
+    rows = [(i, " ".join(rng.choices((good, bad)[i % 2], k=40)), "en", f"src{i % 2}") for i in range(900)]
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    model, table = cotraining.fit(documents(rows), labels, rounds=0)
+    assert table.count() == 900
+    for pseudo, least, most in ((10_000, 380, 390), (50, 20, 90)):
+        extra = cotraining._exchange(spark, table, model, pseudo)["bad"]
+        for v in range(2):
+            assert all(least <= (extra[v].y == c).sum() <= most for c in (0, 1)), (pseudo, v)
+    for few in (10, 10_000):
+        got = cotraining.scored(documents(rows), labels, pseudo=few).collect()
+        assert all(r.kept == (r.doc_id % 2 == 0) for r in got)
+
+
 def test_cotraining_learns_from_either_view(spark, documents, words):
     good, bad, rng = words(60), words(60), random.Random(2)
     rows = []
@@ -330,6 +393,49 @@ def test_simhash_recall(spark):
         assert root(doc_id) == root(g)
 
 
+def test_forest_has_the_components_of_all_pairs():
+    rng = np.random.default_rng(5)
+    for spread in (4, 9, 14, 40):
+        base = rng.integers(0, 1 << 63, (6, simhash._LONGS), np.uint64)
+        prints = base[rng.integers(0, 6, 120)]
+        for row in prints:
+            for bit in rng.integers(0, 64 * simhash._LONGS, rng.integers(0, spread)).tolist():
+                row[bit // 64] ^= np.uint64(1 << bit % 64)
+        parent = list(range(120))
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        def join(pairs, root=root, parent=parent):
+            for a, b in pairs:
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+            return [root(x) for x in range(120)]
+
+        edges = simhash.forest(np.arange(120), prints, simhash.ACCEPT).tolist()
+        assert all(simhash.distance(prints[a], prints[b]) <= simhash.ACCEPT for a, b in edges)
+        found = join(edges)
+        assert len(edges) == 120 - len(set(found))
+        assert found == join((i, j) for i in range(120) for j in range(i) if simhash.distance(prints[i], prints[j]) <= simhash.ACCEPT)
+
+
+def test_simhash_ball_is_complete():
+    """Fingerprints that differ in ``ACCEPT`` bits, however these fall, have a variant in common."""
+    rng = np.random.default_rng(6)
+    assert simhash.ACCEPT // simhash.BLOCKS <= simhash.RADIUS
+    for _ in range(200):
+        a = rng.integers(0, 1 << 63, simhash._LONGS, np.uint64) & simhash._USED
+        b = a.copy()
+        for bit in rng.choice(simhash.BLOCKS * simhash.BITS, simhash.ACCEPT, replace=False).tolist():
+            b[bit // 64] ^= np.uint64(1 << bit % 64)
+        columns = [pa.array(np.stack((a, b))[:, k].copy().view(np.int64)) for k in range(simhash._LONGS)]
+        rows = [r for x in simhash._variants(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), *columns], ["rep", *"012"])])) for r in x.to_pylist()]
+        own = [{r["variant"] for r in rows if r["rep"] == k} for k in (1, 2)]
+        assert own[0] & own[1] and len(own[0]) == simhash.BLOCKS * (simhash.BITS + 1)
+
+
 def test_simhash_many_copies(documents, words):
     """Copies with small changes, far more than any bucket limit would hold, are one group; others stay alone."""
     base, rng = words(150), random.Random(6)
@@ -392,6 +498,63 @@ def test_pii_planted(documents, words):
     assert not any(i >= 1000 for i in got)
 
 
+def test_pii_takes_time_in_proportion(words):
+    """A megabyte of what a form may begin with; each took minutes or more where it was quadratic."""
+    blobs = ["aB3+/" * 200_000, "e" * 1_000_000, "1" * 1_000_000, "1 " * 500_000, "a+" * 500_000, "a@" * 500_000, "a." * 500_000]
+    blobs += ["Mr" + " " * 1_000_000, "token==" * 150_000, "DE89 3704 " * 100_000, "+1 " * 300_000, "٣" * 1_000_000, "Anna " * 200_000]
+    for blob in blobs:
+        start = time.process_time()
+        pii.candidates(blob)
+        assert time.process_time() - start < 10, blob[:10]
+
+
+def test_pii_in_other_digits(documents, words):
+    """Numbers in Arabic-Indic digits are found, whatever else the text has."""
+    number = "".join(chr(0x660 + int(c)) if c.isdigit() else c for c in "+1 (212) 555-0142")
+    rows = [(i, " ".join(words(10)) + f" call {number} " + " ".join(words(5))) for i in range(40)]
+    rows += [(100 + i, t + " 1") for i, (_, t) in enumerate(rows)]
+    got = {(r.doc_id, r.kind) for r in pii.personal_data(documents(rows)).collect()}
+    assert got == {(i, "phone") for i, _ in rows}
+
+
+def test_pii_names_and_cues(documents, words):
+    """Names without a title where a list knows them or the corpus has taught them; values that follow a cue."""
+    rows = [(i, " ".join(words(8)) + " Anna Wolters " + " ".join(words(8))) for i in range(30)]
+    rows += [(100 + i, " ".join(words(8)) + " Mr Zyrok Blan " + " ".join(words(8))) for i in range(30)]
+    rows += [(200 + i, " ".join(words(8)) + " Zyrok Tarn " + " ".join(words(8))) for i in range(30)]
+    rows += [(300 + i, " ".join(words(8)) + f' the password: "hunter{i}2x" ' + " ".join(words(8))) for i in range(30)]
+    found = {r.kind for r in pii.personal_data(documents(rows)).collect()}
+    spans = {(i, k) for i, t in rows for s, e, k, *_ in pii.candidates(t, pii._NAMES | {"zyrok"})}
+    assert spans >= {(i, "person") for i in [*range(30), *range(100, 130), *range(200, 230)]} | {(300 + i, "secret") for i in range(30)}
+    assert "person" in found
+
+
+def test_pii_equals_brute_force(spark, documents, words):
+    """Without Spark: every candidate's votes by themselves, one classifier of all, overlaps settled by comparison."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(
+        documents([(10_000 + i, f"{' '.join(words(4))} key = AKIA3XQZ7WPLM2RT9KB{c} or joe.{c}@mail.example.org {c}") for i, c in enumerate("ABCDEF")])
+    )
+    rows = [(r.doc_id, *c) for r in docs.select("doc_id", "text").collect() for c in pii.candidates(r.text)]
+    known = {}
+    for kind in pii.KINDS:
+        votes = np.array([r[4] for r in rows if r[3] == kind]).reshape(-1, len(pii.LABELERS))
+        patterns = sorted(set(map(tuple, votes.tolist())))
+        counts = Counter(map(tuple, votes.tolist()))
+        if patterns:
+            p, _, _ = pii.em(np.array(patterns), np.array([counts[x] for x in patterns], float))
+            known |= {(kind, x): float(q) for x, q in zip(patterns, p, strict=True)}
+    places = [(tx.hash_strings(pa.array(r[5])) % np.uint64(pii.DIMENSIONS)).astype(np.int32) for r in rows]
+    x = pii.Sparse(np.array([len(f) for f in places]), np.concatenate(places), pii.DIMENSIONS)
+    w, b = pii.fit_logistic(x, np.array([known[r[3], r[4]] for r in rows]), np.ones(len(rows)), 1e-5, steps=200)
+    p = pii.sigmoid(x.dot(w) + b)
+    taken = []
+    for q, (doc, s, e, kind, *_) in sorted(zip(p, rows, strict=True), key=lambda z: (-round(z[0], 9), z[1][1] - z[1][2])):
+        if q >= pii.ACCEPT and not any(d == doc and s < y and z < e for d, z, y, _ in taken):
+            taken.append((doc, s, e, kind))
+    got = [(r.doc_id, r.start, r.end, r.kind) for r in pii.personal_data(docs).collect()]
+    assert len(got) > 50 and sorted(got) == sorted(set(taken))
+
+
 def test_em_finds_reliability():
     """The labeler that votes at random gets less weight than the four that are right in nine of ten cases."""
     rng = np.random.default_rng(0)
