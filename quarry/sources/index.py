@@ -503,32 +503,3 @@ class Reader:
         self.index.readers.discard(self)
         self.meta = replace(self.meta, segments=())
         self.closed = True
-
-
-class TableReader(Reader):
-    """A reader of documents in a DataFrame, without an index: analyzed as each query runs."""
-
-    def __init__(self, docs: DataFrame, schema: IndexSchema, registry: Registry = REGISTRY):
-        self.spark = docs.sparkSession
-        self._docs, self._registry = docs, registry
-        self.meta = Meta(0, 0, schema)
-        self.index = Index(self.spark, MemoryFiles(), None, registry)
-
-    @property
-    def postings(self) -> DataFrame:
-        return P.postings(self._docs, self.schema, self._registry)
-
-    @property
-    def term_stats(self) -> DataFrame:
-        return P.term_stats(self.postings)
-
-    @property
-    def docs(self) -> DataFrame:
-        return self._docs.select("doc_id")
-
-    @property
-    def n_docs(self) -> DataFrame:
-        return self._docs.agg(F.count("*").alias("n"))
-
-    def reload(self) -> Reader:
-        return self

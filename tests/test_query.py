@@ -6,7 +6,8 @@ from quarry.plans.compile import WIDE, compile_query, leaves, simplify
 from quarry.plans.query import (
     All, Boolean, Empty, Occur, Parser, QueryParseError, Term, intersection, must_should, union,
 )
-from quarry.sources.index import TableReader
+from quarry.sources.index import Index
+from quarry.sources.merge_policy import no_merge
 from quarry.sources.schema import IndexSchema
 
 A, B, C = (Term("f1", x) for x in "abc")
@@ -96,14 +97,19 @@ def small(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices("abcde", k=rng.randint(0, 6))), " ".join(rng.choices("abc", k=rng.randint(0, 3)))) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, f1 string, f2 string")
-    reader = TableReader(docs, IndexSchema.of("f1", "f2"))
+    index = Index.in_memory(spark, IndexSchema.of("f1", "f2"))
+    writer = index.writer(no_merge)
+    for part in (0, 1):
+        writer.add(docs.where(docs.doc_id % 2 == part))
+    writer.commit()
+    reader = index.reader()
     scores = {}
     for place, field in ((1, "f1"), (2, "f2")):
         for term in "abcde":
             tfs = {r[0]: r[place].split().count(term) for r in rows if term in r[place].split()}
             scores[field, term] = {d: tf * (1 + math.log(len(rows) / (1 + len(tfs)))) for d, tf in tfs.items()}
-    held = [df.persist() for df in (reader.postings, reader.term_stats, reader.n_docs, reader.docs)]
-    return held, scores, [r[0] for r in rows]
+    yield [reader.postings, reader.term_stats, reader.n_docs, reader.docs], scores, [r[0] for r in rows]
+    index.close()
 
 
 @pytest.mark.parametrize("seed", range(25))
