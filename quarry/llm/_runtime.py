@@ -13,10 +13,22 @@ from pyspark.sql import functions as F
 from quarry.shared import shared_dir
 
 
+SMALL = 256 << 20
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents. A small one in fewer files than there are cores, which as few tasks would read, is spread
+    over all; larger ones have tasks enough, and their texts are not shuffled for this."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < SMALL and len(docs.inputFiles()) < cores else docs
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: short lineage, safe from lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._quarry_path = path
@@ -25,11 +37,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the table behind a result of ``written`` once nothing reads it any more."""
-    path = getattr(df, "_quarry_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    if path := getattr(df, "_quarry_path", None):
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote here. Results that were not written elsewhere by then are lost."""
+    _delete(spark, f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 SEGMENT = 1 << 16

@@ -290,7 +290,12 @@ def _score_broadcast(order: int, shared, total: int):
             levels = []
             for h, valid in ngrams(w, order):
                 known = np.zeros(len(h), np.uint8)
-                known[valid] = f.levels(h[valid] >> _KEY)
+                keys = h[valid] >> _KEY
+                by = np.argsort(keys, kind="stable")
+                starts, sizes = _runs(keys[by])
+                mine = np.empty(len(keys), np.uint8)
+                mine[by] = np.repeat(f.levels(keys[by][starts]), sizes)
+                known[valid] = mine
                 levels.append(known)
             yield from _scores(batch.column(0), w, levels, total).to_batches()
 
@@ -345,7 +350,7 @@ def scored(docs: DataFrame, order: int = ORDER, broadcast_bytes: int = BROADCAST
     size = texts.select("text").mapInArrow(_measured, "words long, bytes long").agg(F.sum("words"), F.sum("bytes")).first()
     total, size = size[0] or 0, size[1] or 0
     shards = max(1, -(-total * order // SHARD_GRAMS))
-    parts = max(1, -(-size // part_bytes))
+    parts = max(-(-size // part_bytes), spark.sparkContext.defaultParallelism)
     # The numbers of parts and shards hash to partitions of their own, so that tasks are even.
     number = rt.one_of(rt.even_keys(spark, parts), F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
     placed = texts.withColumn("part", number).repartition(parts, "part")
@@ -355,13 +360,13 @@ def scored(docs: DataFrame, order: int = ORDER, broadcast_bytes: int = BROADCAST
         rows = grams.applyInArrow(_build, "least long, size long, bits binary").toArrow().sort_by("least")
         places = shard_of(rows["least"].to_numpy().astype(np.uint64), shards)
         held = Filter(shards, places, rows["size"].to_numpy(), b"".join(x.as_py() for x in rows["bits"]))
-        return texts.mapInArrow(_score_broadcast(order, spark.sparkContext.broadcast(held), total), _SCORES)
+        return placed.select("doc_id", "text").mapInArrow(_score_broadcast(order, spark.sparkContext.broadcast(held), total), _SCORES)
     answers = grams.applyInArrow(_answer, "part int, kind int, least long, levels binary")
     return placed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score_part(order, total), _SCORES)
 
 
 def op5_bloomlm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scored(rt.documents(spark, sf_dir))
 
 
 QUERIES = {"op5_bloomlm": op5_bloomlm}

@@ -108,6 +108,7 @@ def metadata_view(text: pa.Array, source: pa.Array, lang: pa.Array, w: tx.Words)
     width = max(len(w.vocab), 1)
     same = np.zeros(len(w.codes), bool)  # a word that repeats the one before
     same[1:] = w.codes[1:] == w.codes[:-1]
+    same[w.offsets[:-1][count > 0]] = False
     again = np.bincount(w.owners(), same, minlength=n)
     unique = np.bincount(tx.distinct(w.owners() * width + w.codes) // width, minlength=n)
 
@@ -378,7 +379,7 @@ def scored(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
 
 
 def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored(rt.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

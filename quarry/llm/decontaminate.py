@@ -180,7 +180,7 @@ def contaminated(
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(
-        spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+        rt.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     )
 
 

@@ -270,7 +270,7 @@ def _one_pass(spark: SparkSession, texts: DataFrame, table: pa.Table, k: int) ->
 
 
 def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return search(rt.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sql(k: int = TOP) -> str:

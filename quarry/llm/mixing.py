@@ -121,7 +121,7 @@ def mixture(
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixture(rt.documents(spark, sf_dir))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

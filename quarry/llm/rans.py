@@ -324,7 +324,7 @@ def decoded(blocks: DataFrame) -> DataFrame:
 
 
 def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encoded(rt.documents(spark, sf_dir))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

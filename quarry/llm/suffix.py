@@ -280,7 +280,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, q: int = Q) -> Da
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeated_passages(rt.documents(spark, sf_dir))
 
 
 def sql(least: int = MIN_WORDS) -> str:
