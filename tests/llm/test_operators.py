@@ -250,6 +250,19 @@ def test_cotraining_rejects_toxic_and_keeps_clean(spark):
     assert np.mean([got[i] for i, r in truth.items() if r.toxic == 0 and r.quality == 1]) > 0.98
 
 
+def test_cotraining_features_depend_on_the_document_alone():
+    """Whatever texts are beside one in its batch: here the first word repeats the last of the one before."""
+    texts = pa.array(["one two", "two two three", "", "three one"])
+    empty = pa.array([""] * 4)
+
+    def views(at, n):
+        part = texts.slice(at, n)
+        rows, names = cotraining.metadata_view(part, empty.slice(at, n), empty.slice(at, n), tx.words(part))
+        return [set(names[rows == i].tolist()) for i in range(n)]
+
+    assert views(0, 4) == [views(i, 1)[0] for i in range(4)]
+
+
 def test_cotraining_pseudo_labels_come_from_the_whole_corpus(spark, documents, words):
     """What one view is sure of reaches the other from any unlabelled document, in number as asked, by class."""
     good, bad, rng = words(60), words(60), random.Random(3)
