@@ -24,7 +24,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The token blocks of the corpus: each stage works on the table that the one before wrote.
+
+    Defined cases are those of the stages: rows with a null id pass quality, near duplicates and decontamination and go in
+    mixing; null and empty texts are judged by their metadata and become documents of no tokens; very long texts are read
+    whole; of rows that repeat an id one is left after near duplicates; of ties the least id stays; an empty table gives
+    the frequency table's row alone; further columns, whatever their names, are passed on up to the last stage.
+    """
+    docs = rt.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = rt.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, rt.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        rt.discard(before)
+    blocks = STAGES[-1][1](spark, docs, sf_dir)
+    rt.discard(docs)  # the blocks come from a table of their own
+    return blocks
