@@ -12,7 +12,7 @@ from quarry.functions import analysis as A
 from quarry.functions.scoring import idf
 from quarry.functions.stem_sql import stems
 from quarry.operators import docsets
-from quarry.operators.collectors import Both, Count, TopScore
+from quarry.operators.collectors import Both, Count, TopScore, top_per_group
 from quarry.plans.query import All, Boolean, Empty, Occur, Query, Term, intersection, multi_terms, must_should, union
 from quarry.sources import postings as P
 from quarry.shared import shared_dir
@@ -47,7 +47,7 @@ def _reader(spark: SparkSession, sf_dir: str, schema: IndexSchema = _TEXT) -> Re
 
 
 def _new_index(spark: SparkSession, schema: IndexSchema = _TEXT) -> Index:
-    return Index.create(spark, f"{shared_dir(spark)}/quarry-index/{uuid.uuid4().hex}", schema)
+    return Index.create(spark, f"{shared_dir(spark)}/quarry-index/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}", schema)
 
 
 def t(text: str, field: str = "text") -> Term:
@@ -182,6 +182,14 @@ def top_score_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TopScore(10, 25).plan(_reader(spark, sf_dir).scored("text:the OR text:and"))
 
 
+def best_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best documents of each source."""
+    scored = _reader(spark, sf_dir).scored("text:the OR text:and")
+    joined = scored.join(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    best = top_per_group(joined, ["source"], [F.col("score").desc(), F.col("doc_id").desc()], 3)
+    return best.select("source", "doc_id", "score")
+
+
 def count_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Count().plan(_reader(spark, sf_dir).scored("text:the AND text:license"))
 
@@ -327,6 +335,11 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     "repeated_term": (_scored("text:license text:license"), _tree_sql("(s0 + s0)", "license")),
     "top_score": (top_score, f"SELECT * FROM ({_TOP}) ORDER BY score DESC, doc_id DESC LIMIT 10"),
     "top_score_offset": (top_score_offset, f"SELECT * FROM ({_TOP}) ORDER BY score DESC, doc_id DESC LIMIT 10 OFFSET 25"),
+    "best_by_source": (
+        best_by_source,
+        f"SELECT source, doc_id, score FROM (SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id DESC) AS k "
+        f"FROM ({_TOP}) JOIN documents USING (doc_id)) WHERE k <= 3",
+    ),
     "count_hits": (count_hits, f"SELECT count(*)::BIGINT AS hits FROM ({_tree_sql('(s0 + s1)', 'the', 'license')})"),
     "tuple_hits": (
         tuple_hits,
