@@ -29,7 +29,7 @@ K1 = 1.2
 B = 0.75
 UNIT = 10_000
 SHARD_DOCS = 8192
-QUERY_TERMS = 2_000_000  # distinct terms of the queries that are searched in one pass
+QUERY_TERMS = 2_000_000  # terms of the queries that are searched in one pass
 
 _POSTINGS = "shard long, docs binary, lengths binary, terms binary, starts binary, places binary, tfs binary, n long, words long"
 
@@ -211,8 +211,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     Defined cases: rows with a null id are left out on either side; null texts count as empty, and an empty query finds
     nothing, while empty documents count towards the mean length. Rows that repeat a document's id and text are one
     document; with differing texts each is searched, and the best of them is ranked. Query rows that repeat an id are
-    one query of all their words. Other columns are not read. Empty tables give no rows. Queries of more than
-    ``QUERY_TERMS`` distinct terms in all are searched in several passes.
+    one query of all their words. Very long texts are searched whole. Other columns, whatever their names, are not read.
+    Empty tables give no rows. Queries of more than ``QUERY_TERMS`` terms in all are searched in several passes.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(
@@ -229,16 +229,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         .agg(F.sum("times").alias("times")),
         "maxscore-queries",
     )
-    # Queries go through the documents in groups, each of a size that can be broadcast.
-    sizes = terms.groupBy("item_id").count().orderBy("item_id").withColumn(
-        "upto", F.sum("count").over(Window.orderBy("item_id").rowsBetween(Window.unboundedPreceding, 0))
-    )
-    passes = [r[0] for r in sizes.select(F.floor((F.col("upto") - 1) / QUERY_TERMS).alias("p")).distinct().orderBy("p").collect()]
+    # Queries go through the documents in groups by a hash, each of about a size that can be broadcast.
+    passes = -(-terms.count() // QUERY_TERMS)
     results = []
-    for number in passes:
-        mine = terms.join(sizes.where(F.floor((F.col("upto") - 1) / QUERY_TERMS) == number).select("item_id"), "item_id", "left_semi")
-        table = (mine if len(passes) > 1 else terms).toArrow()
-        results.append(_one_pass(spark, texts, table, k))
+    for number in range(passes):
+        mine = terms.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == number) if passes > 1 else terms
+        results.append(_one_pass(spark, texts, mine.toArrow(), k))
     if not results:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     found = results[0]
