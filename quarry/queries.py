@@ -35,9 +35,10 @@ _BUILT: dict[tuple, Index] = {}
 def _reader(spark: SparkSession, sf_dir: str, schema: IndexSchema = _TEXT) -> Reader:
     """A reader of an index of all documents in the shared folder, built by the first query of a session that asks for it."""
     docs = _docs(spark, sf_dir)
-    files = tuple(sorted(docs.inputFiles()))
-    key = (spark.sparkContext.applicationId, files, schema)
-    if key not in _BUILT:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    changed = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    key = (spark.sparkContext.applicationId, sf_dir, changed, schema)
+    if key not in _BUILT or not _BUILT[key].storage.versions():
         index = _new_index(spark, schema)
         writer = index.writer(no_merge)
         writer.add(docs)
