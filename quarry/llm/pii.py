@@ -51,6 +51,7 @@ _FORMS = {
     "card": re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)"),
     "person": re.compile(r"\b" + _TITLES + r"\.? {1,3}" + _LETTERS + r"(?: {1,3}[A-ZÀ-Þ]" + _LETTERS + r")?"),
 }
+_DIGIT = re.compile(r"\d")
 _DOMAIN = re.compile(r"@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}")
 _LOCAL = re.compile(r"[\w.+%-]+\Z")
 _KEY = re.compile(r"[A-Za-z0-9_+/-]{20,}={0,2}")
@@ -185,14 +186,16 @@ def _shape(span: str) -> str:
 def _found(text: str, names: frozenset[str]) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, finder) of the candidates, in order, each span of a kind once."""
     spans: dict[tuple[int, int, str], str] = {}
+    digit, cue = _DIGIT.search(text), ":" in text or "=" in text  # without which there is nothing to find, but names
     for kind, form in _FORMS.items():
-        for m in form.finditer(text):
-            spans[m.start(), m.end(), kind] = "form"
+        if any(t in text for t in _TITLE_WORDS) if kind == "person" else digit:
+            for m in form.finditer(text):
+                spans[m.start(), m.end(), kind] = "form"
     for m in _DOMAIN.finditer(text):
         at = max(0, m.start() - 64)
         if local := _LOCAL.search(text[at : m.start()]):
             spans[at + local.start(), m.end(), "email"] = "form"
-    for m in _KEY.finditer(text):
+    for m in _KEY.finditer(text) if digit else ():
         span, s, e = m[0], m.start(), m.end()
         beside = text[s - 1 : s] + text[e : e + 1]
         if not any(c.isalnum() for c in beside) and any(c.isdigit() for c in span) and any(c.isalpha() for c in span):
@@ -200,7 +203,7 @@ def _found(text: str, names: frozenset[str]) -> list[tuple[int, int, str, str]]:
     for m in _CAPITALS.finditer(text):
         if m[1].lower() in names:
             spans.setdefault((m.start(), m.end(), "person"), "list")
-    for m in _CUED.finditer(text):
+    for m in _CUED.finditer(text) if cue else ():
         value = m["value"].rstrip(".)]}!?:")
         if len(value) >= 6 and (any(c.isdigit() for c in value) or "@" in value):
             spans.setdefault((m.start("value"), m.start("value") + len(value), m.lastgroup if m.lastgroup != "value" else next(k for k in ("secret", "id", "phone", "email") if m[k])), "cue")
@@ -394,7 +397,7 @@ def personal_data(docs: DataFrame, train: int = TRAIN) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return personal_data(rt.documents(spark, sf_dir))
 
 
 QUERIES = {"op7_pii": op7_pii}
