@@ -110,7 +110,8 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The buckets with two members or more, named by what they hold, of rows in order of their variant."""
+    """Rows (bucket, rep, other) of the variants that two or more have, of rows in order of their variant: of two members
+    (null, one, the other), of more each one with the bucket's name, which is made of what it holds."""
     seen = np.zeros(0, np.uint64)
     for keys, reps in rt.whole_runs(batches):
         starts, sizes = runs(keys)
@@ -125,10 +126,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first[np.unique(names, return_index=True)[1]] = True
         first &= ~np.isin(names, seen)
         seen = np.concatenate((seen, names[first]))
-        keep = np.repeat(first, sizes)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(names, sizes)[keep].view(np.int64)), pa.array(reps[keep])], ["bucket", "rep"]
-        )
+        two = starts[first & (sizes == 2)]
+        more = np.repeat(first & (sizes > 2), sizes)
+        rep = np.concatenate((np.minimum(reps[two], reps[two + 1]), reps[more]))
+        bucket = pa.concat_arrays([pa.nulls(len(two), pa.int64()), pa.array(np.repeat(names, sizes)[more].view(np.int64))])
+        other = pa.concat_arrays([pa.array(np.maximum(reps[two], reps[two + 1])), pa.nulls(int(more.sum()), pa.int64())])
+        yield pa.RecordBatch.from_arrays([bucket, pa.array(rep), other], ["bucket", "rep", "other"])
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -154,7 +157,8 @@ def forest(ids: np.ndarray, prints: np.ndarray, accept: int) -> np.ndarray:
 
 
 def _verify(accept: int):
-    """Edges of each bucket's spanning forest, of rows in order of their bucket."""
+    """Edges of each bucket's spanning forest, of rows in order of their bucket. An id that comes with several texts may
+    be in a bucket more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buckets, reps, *columns in rt.whole_runs(batches):
@@ -226,19 +230,29 @@ def near_duplicates(docs: DataFrame, accept: int = ACCEPT) -> DataFrame:
     prints = [f"s{k}" for k in range(_LONGS)]
     unique = rt.written(signed.groupBy(*prints).agg(F.min("doc_id").alias("rep")).select("rep", *prints), "simhash-unique")
     # One id may come with several texts: the variants then hold it once for each, which only repeats edges.
-    buckets = (
+    met = rt.written(
         unique.mapInArrow(_variants, "variant long, rep long")
         .repartition("variant")
         .sortWithinPartitions("variant")
-        .mapInArrow(_meet, "bucket long, rep long")
-        .distinct()
+        .mapInArrow(_meet, "bucket long, rep long, other long"),
+        "simhash-met",
     )
+    # Most that meet by chance do so two at a time: each such pair is shuffled once by either side. Partitioned by one
+    # side, it is freed of repeats and joined to that side's fingerprint where it is.
+    pairs = met.where("bucket IS NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")).repartition("a").distinct()
+    for t in "ab":
+        pairs = pairs.join(unique.select(F.col("rep").alias(t), *(F.col(c).alias(f"{t}_{c}") for c in prints)), t)
+    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in prints), F.lit(0))
     edges = (
-        buckets.join(unique, "rep")
+        met.where("bucket IS NOT NULL")
+        .select("bucket", "rep")
+        .distinct()
+        .join(unique, "rep")
         .select("bucket", "rep", *prints)
         .repartition("bucket")
         .sortWithinPartitions("bucket", "rep")
         .mapInArrow(_verify(accept), "a long, b long")
+        .unionByName(pairs.where(apart <= accept).select("a", "b"))
     )
     roots = components(edges)
     members = (
