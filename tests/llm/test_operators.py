@@ -188,12 +188,50 @@ def test_chains_hot_seeds(documents, words, monkeypatch):
 
 
 def test_chains_links_of_hot_seeds():
-    """Seeds of more than ``HOT`` texts leave one text in the shuffle and a link for each other."""
+    """Of a seed of more than ``HOT`` texts no pair is counted, the texts being handed on; of others all pairs are."""
     rid = np.arange(100, dtype=np.int64)
-    keep, (a, b, n, *_spans) = chains._linked(rid, np.zeros(100, np.uint64), rid * 3, 32)
-    assert keep.sum() == 1 and a.tolist() == [0] * 99 and b.tolist() == list(range(1, 100)) and set(n.tolist()) == {1}
-    keep, (a, *_rest) = chains._linked(rid[:30], np.zeros(30, np.uint64), rid[:30], 32)
-    assert keep.all() and not len(a)
+    hot, (a, *_rest) = chains._linked(rid, np.zeros(100, np.uint64), rid * 3, 32)
+    assert hot.all() and not len(a)
+    hot, (a, b, n, *_spans) = chains._linked(rid[:30], np.zeros(30, np.uint64), rid[:30], 32)
+    assert not hot.any() and list(zip(a.tolist(), b.tolist(), strict=True)) == [(i, j) for i in range(30) for j in range(i + 1, 30)]
+    assert set(n.tolist()) == {1}
+
+
+@pytest.mark.parametrize("copies", [12, 36])
+def test_chains_links_every_pair(documents, words, copies):
+    """All pairs that brute force aligns come out, below and above ``HOT`` texts a seed, and those of a rare text of a hot line."""
+    rng, passage = random.Random(copies), words(60)
+    texts = [words(rng.randint(5, 20)) + _noisy(rng, passage, 0.07) + words(10) for _ in range(copies)]
+    line, rest = words(15), words(45)
+    texts += [words(20) + line + words(60) for _ in range(copies)]  # too little in common
+    texts += [words(30) + line + [w if k % 4 else f"z{rng.random()}"[2:9] for k, w in enumerate(rest)] + words(9) for _ in range(2)]
+    want = {(i, j) for i in range(copies) for j in range(i + 1, copies) if _best_window(texts[i], texts[j], chains.LEAST, chains.IDENTITY)}
+    got = chains.fuzzy_passages(documents([(i, " ".join(x)) for i, x in enumerate(texts)])).collect()
+    assert len(want) > copies * (copies - 1) // 4
+    assert want | {(2 * copies, 2 * copies + 1)} <= {tuple(sorted((r.doc_id, r.partner_doc_id))) for r in got}
+
+
+def test_chains_links_every_pair_with_gaps(documents, words):
+    """Copies of a passage that many have, each with a word more or less somewhere: all pairs of them."""
+    rng, passage, rows = random.Random(31), words(60), []
+    for i in range(40):
+        at = rng.randint(15, 45)
+        copy = passage[:at] + (["more"] if i % 2 else []) + passage[at + 1 - i % 2 :]
+        rows.append((i, " ".join(words(rng.randint(0, 30)) + copy + words(20))))
+    got = {tuple(sorted((r.doc_id, r.partner_doc_id))) for r in chains.fuzzy_passages(documents(rows)).collect()}
+    assert got == {(i, j) for i in range(40) for j in range(i + 1, 40)}
+
+
+def test_near_pairs_equal_brute_force():
+    """Of rows with one seed before them none are compared; padding equals nothing."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(1, 255, 240)
+    near = np.where(rng.random((90, 240)) < rng.choice([0.3, 0.5, 0.9], (90, 1)), base, rng.integers(1, 255, (90, 240))).astype(np.uint8)
+    near[:5, :150] = 0
+    prev = np.array([0] * 60 + [7] * 20 + [9] * 10)
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if (prev[i] != prev[j] or not prev[i]) and ((near[i] == near[j]) & (near[i] > 0)).sum() >= 40}
+    got = set(zip(*(x.tolist() for x in chains.near_pairs(near, prev)), strict=True))
+    assert want and want <= got and not any(prev[i] == prev[j] != 0 for i, j in got)
 
 
 def _best_chain(a, b, n, weight, gap):
