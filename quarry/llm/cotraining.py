@@ -134,8 +134,9 @@ def metadata_view(text: pa.Array, source: pa.Array, lang: pa.Array, w: tx.Words)
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, n, bad, toxic): of the labelled documents with each content feature, how many have which label."""
-    for batch in rt.chunks(batches, rows=1 << 14, size=32 << 20):
+    """(name, n, bad, toxic): of the labelled documents with each content feature, how many have which label. A name comes
+    once for each of the small batches: working arrays are some forty times as large as their texts."""
+    for batch in rt.chunks(batches, size=1 << 20):
         rows, names = content_view(tx.words(batch.column(1)))
         order = np.argsort(names, kind="stable")
         rows, names = rows[order], names[order]

@@ -3,6 +3,7 @@
 import math
 import random
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -266,6 +267,29 @@ def test_chain_is_optimal():
 # Quality classifier
 
 
+def test_cotraining_counts_features_in_little_memory(words):
+    """The counts of many texts are those of each text by itself, and don't take memory in proportion to the batch."""
+    rng, vocabulary = random.Random(17), words(20_000)
+    texts = [" ".join(rng.choices(vocabulary, k=400)) for _ in range(1500)]
+    marks = [[rng.choice([0, 1, None]) for _ in texts] for _ in range(2)]
+    columns = [pa.array(range(len(texts))), pa.array(texts), *[pa.array(["en"] * len(texts))] * 2, *(pa.array(m, pa.int32()) for m in marks)]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "source", "lang", "bad", "toxic"])
+    parts, most = [], 0
+    tracemalloc.start()
+    for part in cotraining._count_features(iter([batch])):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        parts.append(np.stack([c.to_numpy() for c in part.columns]))
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    rows, names = cotraining.content_view(tx.words(batch.column(1)))
+    want, place = np.unique(names.view(np.int64), return_inverse=True)
+    got = np.concatenate(parts, axis=1)
+    assert np.array_equal(np.unique(got[0]), want)
+    for k, mark in enumerate((np.ones(len(texts)), *(np.array([m or 0 for m in x]) for x in marks))):
+        assert np.array_equal(np.bincount(np.searchsorted(want, got[0]), got[k + 1]), np.bincount(place, mark[rows]))
+    assert most - sum(p.nbytes for p in parts) < 100 << 20
+
+
 def test_cotraining_held_out(spark):
     """Labels hidden from the fit are predicted."""
     data = "/root/testdata/sf0.01"
