@@ -223,16 +223,38 @@ def test_chains_links_every_pair_with_gaps(documents, words):
     assert got == {(i, j) for i in range(40) for j in range(i + 1, 40)}
 
 
+def test_chains_links_pairs_of_common_lines_with_gaps(documents, words):
+    """Two texts that share four lines, each of which many have, with words between them in the one: every place is on
+    another diagonal, and no seed is rare."""
+    lines = [words(14) for _ in range(4)]
+    rows = [(i, " ".join(words(30) + lines[i % 4] + words(30))) for i in range(160)]
+    rows += [(160, " ".join(words(20) + sum(lines, []) + words(20))), (161, " ".join(words(9) + sum((x + words(2) for x in lines), []) + words(20)))]
+    got = {tuple(sorted((r.doc_id, r.partner_doc_id))) for r in chains.fuzzy_passages(documents(rows)).collect()}
+    assert got == {(160, 161)}
+
+
+def test_chains_copies_of_a_passage_are_listed_with_one(documents, words):
+    """Of many texts with the same words each is listed with one of them, at places that overlap; other pairs by themselves."""
+    passage, more = words(70), words(60)
+    rows = [(i, " ".join(words(20) + passage + words(5) + (more if i in (7, 31) else words(9)))) for i in range(40)]
+    got = chains.fuzzy_passages(documents(rows)).collect()
+    of_passage = [r for r in got if r.end_word - r.start_word >= 70 and r.start_word <= 20]
+    assert {r.doc_id for r in of_passage} | {r.partner_doc_id for r in of_passage} == set(range(40))
+    assert all(min(r.end_word, 90) - max(r.start_word, 20) >= 50 for r in of_passage)
+    assert len(got) < 80
+    assert (7, 31) in {tuple(sorted((r.doc_id, r.partner_doc_id))) for r in got if r.end_word > 95 or r.partner_end > 95}
+
+
 def test_near_pairs_equal_brute_force():
-    """Of rows with one seed before them none are compared; padding equals nothing."""
+    """Runs of three words that few rows have and such that most have; rows too short for one have none."""
     rng = np.random.default_rng(8)
-    base = rng.integers(1, 255, 240)
-    near = np.where(rng.random((90, 240)) < rng.choice([0.3, 0.5, 0.9], (90, 1)), base, rng.integers(1, 255, (90, 240))).astype(np.uint8)
-    near[:5, :150] = 0
-    prev = np.array([0] * 60 + [7] * 20 + [9] * 10)
-    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if (prev[i] != prev[j] or not prev[i]) and ((near[i] == near[j]) & (near[i] > 0)).sum() >= 40}
-    got = set(zip(*(x.tolist() for x in chains.near_pairs(near, prev)), strict=True))
-    assert want and want <= got and not any(prev[i] == prev[j] != 0 for i, j in got)
+    base = rng.integers(1, 255, 250)
+    near = [np.where(rng.random(250) < rng.choice([0.5, 0.8, 0.95]), base, rng.integers(1, 255, 250)).astype(np.uint8) for _ in range(150)]
+    near += [x[rng.integers(0, 50) : rng.integers(100, 250)] for x in near[:20]] + [np.zeros(0, np.uint8), np.ones(2, np.uint8)]
+    runs = [Counter(zip(x[:-2].tolist(), x[1:-1].tolist(), x[2:].tolist(), strict=True)) for x in near]
+    want = {(i, j) for i in range(len(near)) for j in range(i + 1, len(near)) if sum(n * runs[j][x] for x, n in runs[i].items()) >= chains.THREES}
+    got = [(i, j) for pair in chains.near_pairs(near, chains.THREES) for i, j in zip(*(x.tolist() for x in pair), strict=True)]
+    assert want and len(want) < len(near) * (len(near) - 1) // 2 and len(got) == len(set(got)) and set(got) == want
 
 
 def _best_chain(a, b, n, weight, gap):
