@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.stemmer import stem_array
+from quarry.functions.stemmer import stem, stem_array
 
 ColumnFunction = Callable[[Column], Column]
 STOP_WORDS = ("a", "and", "be", "have", "i", "in", "of", "that", "the", "to")
@@ -34,6 +34,14 @@ def stemming_filter(tokens: Column) -> Column:
     return stem_array(tokens)
 
 
+def _no_stop_word(token: str) -> str | None:
+    return None if token in STOP_WORDS else token
+
+
+#: Token filters that look at one token at a time, as functions of it; without a result it is dropped.
+_WORDWISE: dict[ColumnFunction, Callable[[str], str | None]] = {stop_word_filter: _no_stop_word, stemming_filter: stem}
+
+
 @dataclass(frozen=True)
 class Analyzer:
     """Char filters in order, a tokenizer, token filters in order."""
@@ -67,6 +75,18 @@ class Analyzer:
             tokens = f(tokens)
         return tokens
 
+    def wordwise(self) -> list[Callable[[str], str | None]] | None:
+        """What becomes of each run of letters and numbers after the char filters, for batches in which each distinct one is
+        looked at once; None where that can't be told from the tokenizer and token filters."""
+        known = self.tokenizer is simple_tokenizer and all(f in _WORDWISE for f in self.token_filters)
+        return [_WORDWISE[f] for f in self.token_filters] if known else None
+
+    def filtered(self, texts: Column, repeated: bool) -> Column:
+        """The text after the char filters; of an array of texts one, in lines."""
+        for f in self.char_filters:
+            texts = F.transform(texts, f) if repeated else f(texts)
+        return F.array_join(texts, "\n") if repeated else texts
+
     def terms(self, spark: SparkSession, text: str) -> list[str]:
         """The tokens of a literal, on one row."""
         row = spark.range(1).select(self.tokens(F.lit(text)).alias("tokens")).first()

@@ -15,7 +15,7 @@ from quarry.operators import docsets
 from quarry.operators.collectors import Both, Count, TopScore, top_per_group
 from quarry.plans.query import All, Boolean, Empty, Occur, Query, Term, intersection, multi_terms, must_should, union
 from quarry.sources import postings as P
-from quarry.shared import shared_dir
+from quarry.shared import shared_dir, spread
 from quarry.sources.index import Index, Reader, Writer
 from quarry.sources.merge_policy import SizeTieredPolicy, no_merge
 from quarry.sources.schema import IndexSchema
@@ -29,6 +29,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_docs(spark, sf_dir))
+
+
 _BUILT: dict[tuple, Index] = {}
 
 
@@ -103,7 +107,7 @@ def lower_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simple_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.tokens(_docs(spark, sf_dir), _TEXT).groupBy("doc_id", "term").agg(F.count("*").alias("tokens"))
+    return P.postings(_texts(spark, sf_dir), _TEXT).select("doc_id", "term", F.col("tf").alias("tokens"))
 
 
 def markup_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,25 +116,25 @@ def markup_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stop_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    analyzer = A.DEFAULT.with_token_filter(A.stop_word_filter)
-    return _docs(spark, sf_dir).select("doc_id", F.explode(analyzer.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tokens"))
+    analyzers = A.Registry({"stop": A.DEFAULT.with_token_filter(A.stop_word_filter)})
+    return P.postings(_texts(spark, sf_dir), IndexSchema.of(text="stop"), analyzers).select("doc_id", "term", F.col("tf").alias("tokens"))
 
 
 def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = P.tokens(_docs(spark, sf_dir), _TEXT).groupBy(F.col("term").alias("word")).agg(F.count("*").alias("n"))
+    words = P.counts(_texts(spark, sf_dir), _TEXT).groupBy(F.col("term").alias("word")).agg(F.sum("tf").alias("n"))
     return words.select("word", "n", A.stemming_filter(F.array("word"))[0].alias("stem"))
 
 
 def english_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.postings(_docs(spark, sf_dir), IndexSchema.of(text="en_stem"))
+    return P.postings(_texts(spark, sf_dir), IndexSchema.of(text="en_stem"))
 
 
 def term_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.postings(_docs(spark, sf_dir), _WIDE)
+    return P.postings(_texts(spark, sf_dir), _WIDE)
 
 
 def term_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.term_stats(P.postings(_docs(spark, sf_dir), _WIDE))
+    return P.term_stats(P.postings(_texts(spark, sf_dir), _WIDE))
 
 
 def term_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
