@@ -206,9 +206,7 @@ def tuple_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _segmented(spark: SparkSession, sf_dir: str, k: int = 4) -> tuple[Index, Writer]:
     index = _new_index(spark)
     writer = index.writer(no_merge)
-    docs = _docs(spark, sf_dir)
-    for i in range(k):
-        writer.add(docs.where(F.col("doc_id") % k == i))
+    writer.add_divided(_docs(spark, sf_dir), k, F.coalesce(F.pmod("doc_id", F.lit(k)), F.lit(0)).cast("int"))
     writer.commit()
     return index, writer
 

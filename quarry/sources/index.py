@@ -14,7 +14,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -23,6 +23,7 @@ from quarry.functions.analysis import REGISTRY, Registry
 from quarry.operators.collectors import Collector, TopScore
 from quarry.plans.compile import compile_query
 from quarry.plans.query import Parser, Query
+from quarry.shared import spread
 from quarry.sources import postings as P
 from quarry.sources.merge_policy import MergePolicy, Segment, SizeTieredPolicy
 from quarry.sources.schema import IndexSchema, SchemaError
@@ -35,10 +36,11 @@ _READERS: dict[str, weakref.WeakSet] = defaultdict(weakref.WeakSet)
 #: What is added by single documents becomes a segment at so many documents or characters.
 BUNDLE_DOCS = 100_000
 BUNDLE_SIZE = 3_000_000
-_SMALL = 4 << 30  # bytes of input that are spread over all cores, as a few files may be read by a few tasks only
+_JOINED = 10_000  # documents of a segment, on average, up to which a merge joins the rows of a term
+_FORMAT = 2  # of the files; that of segments with a row for each posting was 1, and is not read any more
 
 _SCHEMAS = {
-    "postings": "term string, doc_id long, tf long, segment string, field string",
+    "postings": "term string, n int, doc_id array<long>, tf array<long>, segment string, field string",
     "terms": "term string, df long, segment string, field string",
     "docs": "doc_id long, segment string",
 }
@@ -60,6 +62,7 @@ class Meta:
 
     def to_json(self) -> dict:
         return {
+            "format": _FORMAT,
             "version": self.version,
             "opstamp": self.opstamp,
             "schema": self.schema.to_json(),
@@ -70,34 +73,50 @@ class Meta:
 
     @classmethod
     def from_json(cls, d: dict) -> Meta:
+        if d.get("format") != _FORMAT:
+            raise ValueError("the index is of another format; it must be built again")
         segments = tuple(Segment(s["id"], s["num_docs"], s["opstamp"]) for s in d["segments"])
         return cls(d["version"], d["opstamp"], IndexSchema.from_json(d["schema"]), segments, d.get("streams", {}))
 
 
 class _Files:
-    """Segments as folders: postings/segment=<id>/field=<name>, terms likewise, docs/segment=<id>."""
+    """Segments as folders: postings/segment=<id>/field=<name> (packed), terms likewise, docs/segment=<id>."""
 
     def __init__(self, spark: SparkSession, storage: Storage):
         self.spark, self.storage = spark, storage
 
-    def put(self, segment: str, postings: DataFrame, docs: DataFrame, analyzed: bool = False) -> int:
-        """``analyzed``: the postings come from segments; otherwise they are written once as they come, as a range
-        partitioning reads its input twice, and texts are to be analyzed once."""
-        at = self.storage.path
-        draft = f"drafts/{segment}"
-        if not analyzed:
-            postings.select("field", "term", "doc_id", "tf").write.parquet(at(draft))
-            postings = self.spark.read.schema("field string, term string, doc_id long, tf long").parquet(at(draft))
-        ordered = postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
-        (
-            ordered.write.partitionBy("field")
-            .option("parquet.bloom.filter.enabled#term", "true")
-            .parquet(at(f"postings/segment={segment}"))
-        )
-        docs.select("doc_id").write.parquet(at(f"docs/segment={segment}"))
-        written = self.get("postings", [segment])
-        P.term_stats(written).sortWithinPartitions("field", "term").write.partitionBy("field").parquet(at(f"terms/segment={segment}"))
-        self.storage.delete(draft)
+    def _write(self, rows: DataFrame, table: str, segments: list[str], *by: str) -> None:
+        """``rows`` in order of (segment, *by). One segment is written to its own folder, several are in one pass."""
+        if len(segments) == 1:
+            writer, path = rows.drop("segment").write.partitionBy(*by), f"{table}/segment={segments[0]}"
+        else:
+            writer, path = rows.write.mode("append").partitionBy("segment", *by), table
+        writer.option("parquet.bloom.filter.enabled#term", "true").parquet(self.storage.path(path))
+
+    def put(self, segments: list[str], postings: DataFrame, docs: DataFrame) -> dict[str, int]:
+        """``postings`` packed, ``part`` being the place of their segment; ``docs`` likewise. How many documents each has.
+
+        Postings are sorted within tasks only, and analyzed once: each file has its documents' terms in order, of which a
+        query reads the pages with its own."""
+        named = F.array(*map(F.lit, segments))[F.col("part")].alias("segment")
+        rows = postings.select("term", "n", "doc_id", "tf", named, "field").sortWithinPartitions("segment", "field", "term")
+        self._write(rows, "postings", segments, "field")
+        self._write(docs.select("doc_id", named).sortWithinPartitions("segment"), "docs", segments)
+        stats = P.packed_stats(self.packed(segments), "segment")
+        self._write(stats.sortWithinPartitions("segment", "field", "term"), "terms", segments, "field")
+        found = self.get("docs", segments).groupBy("segment").count().collect()
+        return dict.fromkeys(segments, 0) | {r["segment"]: r["count"] for r in found}
+
+    def merge(self, segment: str, ids: list[str], num_docs: int) -> int:
+        """Segments as a new one, in fewer files, each in order. Small segments have short rows, which are brought together
+        by term and joined; those of larger ones stay as they are, and are not shuffled."""
+        rows = self.packed(ids).select(F.lit(0).alias("part"), "field", "term", "n", "doc_id", "tf")
+        if num_docs < _JOINED * len(ids):
+            rows = P.joined(rows.repartitionByRange("field", "term"))
+        rows = rows.select("term", "n", "doc_id", "tf", F.lit(segment).alias("segment"), "field").sortWithinPartitions("field", "term")
+        self._write(rows, "postings", [segment], "field")
+        self._write(self.get("docs", ids).select("doc_id"), "docs", [segment])
+        self._write(P.sum_stats(self.get("terms", ids)).sortWithinPartitions("field", "term"), "terms", [segment], "field")
         return self.get("docs", [segment]).count()
 
     def settle(self, docs: DataFrame, name: str) -> DataFrame:
@@ -111,14 +130,26 @@ class _Files:
     def close(self) -> None:
         """Files stay."""
 
+    def packed(self, segments: list[str]) -> DataFrame:
+        return self._read("postings", segments)
+
     def get(self, table: str, segments: list[str]) -> DataFrame:
+        rows = self._read(table, segments)
+        return P.unpacked(rows) if table == "postings" else rows
+
+    def _read(self, table: str, segments: list[str]) -> DataFrame:
         if not segments:
             return self.spark.createDataFrame([], _SCHEMAS[table])
         paths = [self.storage.path(f"{table}/segment={s}") for s in segments]
+        # A segment without rows has no folder where it was written beside others.
+        paths = [p for s, p in zip(segments, paths, strict=True) if self.storage.exists(f"{table}/segment={s}")]
+        if not paths:
+            return self.spark.createDataFrame([], _SCHEMAS[table])
         return self.spark.read.schema(_SCHEMAS[table]).option("basePath", self.storage.path(table)).parquet(*paths)
 
     def present(self) -> set[str]:
-        return {name.removeprefix("segment=") for table in _SCHEMAS for name in self.storage.list(table)}
+        names = [name for table in _SCHEMAS for name in self.storage.list(table)]
+        return {name.removeprefix("segment=") for name in names if name.startswith("segment=")}
 
     def drop(self, segment: str) -> None:
         for table in _SCHEMAS:
@@ -138,13 +169,20 @@ class _Cached:
             for df in segments.popitem()[1].values():
                 df.unpersist()
 
-    def put(self, segment: str, postings: DataFrame, docs: DataFrame, analyzed: bool = False) -> int:
+    def put(self, segments: list[str], postings: DataFrame, docs: DataFrame) -> dict[str, int]:
+        of = lambda df, i: df.where(F.col("part") == i)
+        return {s: self._keep(s, of(postings, i), of(docs, i)) for i, s in enumerate(segments)}
+
+    def merge(self, segment: str, ids: list[str], num_docs: int) -> int:
+        return self._keep(segment, self.packed(ids), self.get("docs", ids))
+
+    def _keep(self, segment: str, postings: DataFrame, docs: DataFrame) -> int:
         tag = F.lit(segment).alias("segment")
         own = {
-            "postings": postings.select("term", "doc_id", "tf", tag, "field").persist(),
+            "postings": postings.select("term", "n", "doc_id", "tf", tag, "field").persist(),
             "docs": docs.select("doc_id", tag).persist(),
         }
-        own["terms"] = P.term_stats(own["postings"]).select("term", "df", tag, "field").persist()
+        own["terms"] = P.packed_stats(own["postings"]).select("term", "df", tag, "field").persist()
         self.segments[segment] = own
         return [own[table].count() for table in ("postings", "terms", "docs")][-1]
 
@@ -154,7 +192,14 @@ class _Cached:
     def unsettle(self, docs: DataFrame, name: str) -> None:
         docs.unpersist()
 
+    def packed(self, segments: list[str]) -> DataFrame:
+        return self._union("postings", segments)
+
     def get(self, table: str, segments: list[str]) -> DataFrame:
+        rows = self._union(table, segments)
+        return P.unpacked(rows) if table == "postings" else rows
+
+    def _union(self, table: str, segments: list[str]) -> DataFrame:
         parts = [self.segments[s][table] for s in segments]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], _SCHEMAS[table])
 
@@ -276,31 +321,39 @@ class Writer:
         if self.closed:
             raise RuntimeError("the writer is closed")
 
-    def _put(self, postings: DataFrame, docs: DataFrame, stamp: int, name: str, analyzed: bool = False) -> Segment:
-        self.index.storage.stage(name)
-        return Segment(name, self.index.data.put(name, postings, docs, analyzed), stamp)
-
     @staticmethod
     def _name(stamp: int) -> str:
         return f"s{stamp:08d}-{uuid.uuid4().hex[:12]}"
 
     def add(self, docs: DataFrame) -> Added:
         """Documents as one new segment. They have a doc_id, unique in the index, or get one."""
+        return self._add(docs, 1, F.lit(0))[0]
+
+    def add_divided(self, docs: DataFrame, parts: int, part: Column) -> list[Added]:
+        """Documents as several new segments, in one pass: ``part`` is the place of each document's, an int from 0 on."""
+        return self._add(docs, parts, part)
+
+    def _add(self, docs: DataFrame, parts: int, part: Column) -> list[Added]:
         self._open()
-        stamp = self._stamp()
+        stamps = [self._stamp() for _ in range(parts)]
         given = "doc_id" in docs.columns
         if given and not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
             raise SchemaError("doc_id must be a whole number")
-        docs, name = _spread(docs), self._name(stamp)
+        docs, names = spread(docs), [self._name(s) for s in stamps]
         if not given:
-            docs = self.index.data.settle(docs.withColumn("doc_id", F.lit(stamp << 40) + F.monotonically_increasing_id()), name)
+            docs = self.index.data.settle(docs.withColumn("doc_id", F.lit(stamps[0] << 40) + F.monotonically_increasing_id()), names[0])
         ids = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-        added = self._put(P.postings(ids, self.meta.schema, self.index.registry), ids, stamp, name)
+        postings = P.packed(ids, self.meta.schema, self.index.registry, part)
+        for name in names:
+            self.index.storage.stage(name)
+        found = self.index.data.put(names, postings, ids.select("doc_id", part.alias("part")))
         if not given:
-            self.index.data.unsettle(docs, name)
-        self.staged.append(added)
-        log.info("staged segment %s with %d documents", name, added.num_docs)
-        return Added(stamp, added)
+            self.index.data.unsettle(docs, names[0])
+        added = [Added(s, Segment(name, found[name], s)) for s, name in zip(stamps, names, strict=True)]
+        self.staged += [a.segment for a in added]
+        for a in added:
+            log.info("staged segment %s with %d documents", a.segment.id, a.segment.num_docs)
+        return added
 
     def add_document(self, **fields: Any) -> None:
         """One document, by its fields. Documents are held until there are ``BUNDLE_DOCS`` of them, or ``BUNDLE_SIZE``
@@ -367,8 +420,11 @@ class Writer:
         log.info("published version %d with %d segments", meta.version, len(kept))
 
     def _merged(self, ids: list[str]) -> Segment:
-        stamp, data = self._stamp(), self.index.data
-        return self._put(data.get("postings", ids).drop("segment"), data.get("docs", ids), stamp, self._name(stamp), True)
+        stamp = self._stamp()
+        name = self._name(stamp)
+        self.index.storage.stage(name)
+        sizes = {s.id: s.num_docs for s in (*self.meta.segments, *self.staged)}
+        return Segment(name, self.index.data.merge(name, ids, sum(sizes[i] for i in ids)), stamp)
 
     def _merge_staged(self, ids: list[str]) -> None:
         merged = self._merged(ids)
@@ -398,12 +454,6 @@ class Writer:
         self.staged, self.bundle, self.closed = [], [], True
 
 
-def _spread(docs: DataFrame) -> DataFrame:
-    """Small inputs over all cores; larger ones have tasks enough, and would be shuffled for nothing."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size < _SMALL else docs
-
-
 class Reader:
     """A snapshot. Later commits show after ``reload``. Until it is closed, its segments are not deleted in this process."""
 
